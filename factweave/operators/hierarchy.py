@@ -7,8 +7,6 @@ frontier row goes to each slice, so no task gets all children of one parent.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +14,6 @@ from ..functions.names import raw_name
 from ..session import cut
 
 
-@dataclass(frozen=True)
-class Graph:
-    """nodes(fqn, slices), edges(parent, child, slice, child_slices) among nodes, and has_parent(fqn)."""
-
-    nodes: DataFrame
-    edges: DataFrame
-    outer: DataFrame
-
-
 def latest_rows(types: DataFrame, key: str = "fqn", at: str = "scanned_at") -> DataFrame:
     """Of rows with the same key the one with the latest time; a row without time is the oldest, ties go to the row
     that sorts last. Rows without key are left out."""
@@ -57,21 +46,17 @@ def build_graph(types: DataFrame, slice_rows: int = 200_000) -> tuple[DataFrame,
     return nodes, marked.where("inner").drop("inner"), marked.where("not inner").select("parent", "child", "child_slices")
 
 
-def _spread(frontier: DataFrame) -> DataFrame:
-    """A row of the frontier once for each slice of its node's edges."""
-    return frontier.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-
-
 def _empty(df: DataFrame) -> bool:
     return not df.head(1)
 
 
 def unpeeled(edges: DataFrame) -> DataFrame:
-    """edges(parent, child) that stay when nodes without an edge to them are taken away again and again, with all
-    their edges: what is left leads down from loops. Each round takes one level; rounds stop when nothing goes."""
+    """edges(parent, child) that stay when edges from nodes without a parent, and to nodes without a child, are taken
+    away again and again: those of loops and of ways from loop to loop. Each round takes a level from both ends."""
     left, size = edges, edges.count()
     while size:
-        left = cut(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
+        entered, leaving = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
+        left = cut(left.join(entered, "parent", "left_semi").join(leaving, "child", "left_semi").select("parent", "child"))
         now = left.count()
         if now == size:
             break
@@ -125,42 +110,52 @@ def below(edges: DataFrame, start: DataFrame) -> DataFrame:
         found = frontier if found is None else cut(found.union(frontier))
 
 
-def hierarchy_paths(types: DataFrame, slice_rows: int = 200_000) -> DataFrame:
+def _steps(edges: DataFrame, hops: int) -> DataFrame:
+    """Ways of 1 to `hops` edges: (parent, slice, tail, node, hops, slices); `tail` joins the names after the parent."""
+    one = edges.select("parent", "slice", F.col("child").alias("tail"), F.col("child").alias("node"), F.lit(1).alias("hops"), F.col("child_slices").alias("slices"))
+    found = longest = cut(one)
+    step = one.select(F.col("parent").alias("p"), F.col("slice").alias("s"), F.col("node").alias("next"), F.col("slices").alias("next_slices"))
+    for k in range(2, hops + 1):
+        spread = longest.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumnRenamed("node", "p").drop("slices")
+        longest = cut(spread.join(step, ["p", "s"]).select("parent", "slice", F.concat_ws(">", "tail", "next").alias("tail"), F.col("next").alias("node"), F.lit(k).alias("hops"), F.col("next_slices").alias("slices")))
+        found = found.union(longest)
+    return found
+
+
+def hierarchy_paths(types: DataFrame, slice_rows: int = 200_000, hops: int = 4) -> DataFrame:
     """(fqn, root_fqn, depth, path): one row for each way from a root down to a type.
 
     A type without parents, or a parent without a row, is a root; `path` joins the names from root to type by `>`.
     A type that is its own ancestor has one row (fqn, '', -1, ''), any other type below such a one (fqn, '', -2, '').
     The latest row of a name holds; rows without a name are left out; an empty table gives no rows.
+    Each round extends the frontier by 1 to `hops` levels in one join.
     """
     nodes, inner, outer = build_graph(types, slice_rows)
-    tangled = unpeeled(inner.select("parent", "child"))
-    if _empty(tangled):
-        loops = stuck = nodes.select("fqn").limit(0)
-    else:
-        turned = tangled.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-        core = unpeeled(turned).select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    core = unpeeled(inner.select("parent", "child"))
+    loops = stuck = None
+    if not _empty(core):
         loops = loop_members(core)
-        stuck = below(tangled, loops)
+        stuck = cut(below(inner.select("parent", "child"), loops).union(loops).distinct())
         free = stuck.select(F.col("fqn").alias("child"))
-        inner = cut(inner.join(free, "child", "left_anti"))
+        inner = inner.join(free, "child", "left_anti")
         outer = outer.join(free, "child", "left_anti")
-    level = nodes.where(F.size("parents") == 0).select("fqn", F.col("fqn").alias("root_fqn"), F.col("fqn").alias("path"), "slices")
-    levels = [cut(level).withColumn("depth", F.lit(0))]
-    first = outer.select(F.col("child").alias("fqn"), F.col("parent").alias("root_fqn"), F.concat_ws(">", "parent", "child").alias("path"), F.col("child_slices").alias("slices"))
+    steps = _steps(inner, hops)
+    tops = nodes.where(F.size("parents") == 0).select("fqn", F.col("fqn").alias("root_fqn"), F.lit(0).alias("depth"), F.col("fqn").alias("path"), "slices")
+    first = outer.select(F.col("child").alias("fqn"), F.col("parent").alias("root_fqn"), F.lit(1).alias("depth"), F.concat_ws(">", "parent", "child").alias("path"), F.col("child_slices").alias("slices"))
+    frontier = out = cut(tops.union(first))
     while True:
-        edge, up = inner, _spread(levels[-1].drop("depth"))
-        down = up.join(edge, (up.fqn == edge.parent) & (up.slice == edge.slice))
-        level = down.select(F.col("child").alias("fqn"), "root_fqn", F.concat_ws(">", "path", "child").alias("path"), F.col("child_slices").alias("slices"))
-        level = cut(level.union(first) if len(levels) == 1 else level)
+        up = frontier.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        down = up.drop("slices").join(steps, (up.fqn == steps.parent) & (up.slice == steps.slice))
+        level = cut(down.select(F.col("node").alias("fqn"), "root_fqn", (F.col("depth") + F.col("hops")).alias("depth"), F.concat_ws(">", "path", "tail").alias("path"), "slices", "hops"))
         if _empty(level):
             break
-        levels.append(level.withColumn("depth", F.lit(len(levels))))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
+        out = out.union(level.drop("hops"))
+        frontier = level.where(F.col("hops") == hops).drop("hops")
     out = out.select("fqn", "root_fqn", "depth", "path")
-    marked = stuck.join(loops.withColumn("own", F.lit(True)), "fqn", "left").select("fqn", F.lit("").alias("root_fqn"), F.when(F.col("own"), -1).otherwise(-2).alias("depth"), F.lit("").alias("path"))
-    return out.union(marked)
+    if stuck is None:
+        return out
+    own = loops.withColumn("own", F.lit(True))
+    return out.union(stuck.join(own, "fqn", "left").select("fqn", F.lit("").alias("root_fqn"), F.when(F.col("own"), -1).otherwise(-2).alias("depth"), F.lit("").alias("path")))
 
 
 def descendant_pairs(paths: DataFrame) -> DataFrame:
