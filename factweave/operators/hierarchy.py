@@ -55,8 +55,10 @@ def unpeeled(edges: DataFrame) -> DataFrame:
     away again and again: those of loops and of ways from loop to loop. Each round takes a level from both ends."""
     left, size = edges, edges.count()
     while size:
-        entered, leaving = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
-        left = cut(left.join(entered, "parent", "left_semi").join(leaving, "child", "left_semi").select("parent", "child"))
+        for _ in range(2):  # two levels to a job
+            entered, leaving = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
+            left = left.join(entered, "parent", "left_semi").join(leaving, "child", "left_semi").select("parent", "child")
+        left = cut(left)
         now = left.count()
         if now == size:
             break
