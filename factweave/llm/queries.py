@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import frequent, mixing, packing
+from . import frequent, mixing, packing, spans
 
 
 def _calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_shares(mixing.mix(table(spark, folder, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p6_packed, p6_unused, p7_mixed, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_chars(table(spark, folder, "documents"))
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The shared stretches themselves: where each begins in its document and how long it is."""
+    return spans.shared_spans(table(spark, folder, "documents")).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p6_packed, p6_unused, p7_mixed, p7_shares, p8_found, p8_spans)}
 
 SQL = {
     "p4_found": """
