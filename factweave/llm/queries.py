@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import frequent, mixing, packing, spans
+from . import docpairs, frequent, mixing, packing, spans
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.documented_places(table(spark, folder, "sources"), table(spark, folder, "method_sources"))
+
+
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs themselves: each documented function's code and its description."""
+    return docpairs.documented_functions(table(spark, folder, "sources"), table(spark, folder, "method_sources"))
 
 
 def _calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +57,7 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p6_packed, p6_unused, p7_mixed, p7_shares, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_intervals, p6_packed, p6_unused, p7_mixed, p7_shares, p8_found, p8_spans)}
 
 SQL = {
     "p4_found": """
