@@ -50,72 +50,74 @@ def _empty(df: DataFrame) -> bool:
     return not df.head(1)
 
 
-def unpeeled(edges: DataFrame) -> DataFrame:
-    """edges(parent, child) that stay when edges from nodes without a parent, and to nodes without a child, are taken
-    away again and again: those of loops and of ways from loop to loop. Each round takes a level from both ends."""
-    left, size = edges, edges.count()
-    while size:
-        for _ in range(2):  # two levels to a job
-            entered, leaving = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
-            left = left.join(entered, "parent", "left_semi").join(leaving, "child", "left_semi").select("parent", "child")
-        left = cut(left)
-        now = left.count()
-        if now == size:
-            break
+def fed_by_loops(ways: DataFrame, hops: int) -> DataFrame:
+    """The nodes (fqn) to which ways(parent, node, hops) of any length lead: those of loops and those below. Round after
+    round the nodes stay that a way of `hops` edges reaches from a node that stayed."""
+    far = ways.where(F.col("hops") == hops)
+    left, size = cut(far.select(F.col("node").alias("fqn")).distinct()), None
+    while (now := left.count()) != size and now:
         size = now
+        left = cut(far.join(left.select(F.col("fqn").alias("parent")), "parent", "left_semi").select(F.col("node").alias("fqn")).distinct())
     return left
 
 
-def loop_members(core: DataFrame) -> DataFrame:
+def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among nodes(fqn)."""
+    inside = edges.join(nodes.select(F.col("fqn").alias("parent")), "parent", "left_semi")
+    return inside.join(nodes.select(F.col("fqn").alias("child")), "child", "left_semi").select("parent", "child")
+
+
+def reach(edges: DataFrame, hops: int) -> DataFrame:
+    """(parent, node, hops): pairs joined by 1 to `hops` edges(parent, child), each once for each length."""
+    one = longest = found = cut(edges.select("parent", F.col("child").alias("node"), F.lit(1).alias("hops")).distinct())
+    step = one.select(F.col("parent").alias("node"), F.col("node").alias("next"))
+    for k in range(2, hops + 1):
+        longest = cut(longest.join(step, "node").select("parent", F.col("next").alias("node"), F.lit(k).alias("hops")).distinct())
+        found = found.union(longest)
+    return found
+
+
+def loop_members(core: DataFrame, hops: int) -> DataFrame:
     """The nodes of edges(parent, child) that are their own ancestors.
 
     Every node takes the least name above it until nothing changes; those from which the namesake can be reached
     again, within one name, form its component. What isn't in a component of its own goes round again.
     """
     members = core.where("parent = child").select(F.col("parent").alias("fqn"))
-    left = core.where("parent <> child")
+    left = cut(core.where("parent <> child").select("parent", "child"))
     while not _empty(left):
-        colour = cut(left.select(F.col("parent").alias("fqn")).union(left.select("child")).distinct().withColumn("colour", F.col("fqn")))
+        ways = cut(reach(left, hops).select("parent", "node").distinct())
+        colour = left.select(F.explode(F.array("parent", "child")).alias("fqn")).distinct().withColumn("colour", F.col("fqn"))
         while True:  # least name among all ancestors
-            above = left.join(colour, left.parent == colour.fqn).groupBy("child").agg(F.min("colour").alias("above"))
-            step = colour.join(above, colour.fqn == above.child, "left").select("fqn", F.least("colour", "above").alias("now"), "colour")
-            step = cut(step)
+            above = ways.join(colour, ways.parent == colour.fqn).groupBy("node").agg(F.min("colour").alias("above"))
+            step = cut(colour.join(above, colour.fqn == above.node, "left").select("fqn", F.least("colour", "above").alias("now"), "colour"))
             colour = step.select("fqn", F.col("now").alias("colour"))
             if _empty(step.where("now <> colour")):
                 break
-        own = colour.select(F.col("fqn").alias("child"), F.col("colour").alias("child_colour"))
-        same = left.join(colour, left.parent == colour.fqn).drop("fqn").join(own, "child").where("colour = child_colour")
-        same = cut(same.select("parent", "child", "colour"))
+        own = colour.select(F.col("fqn").alias("node"), F.col("colour").alias("node_colour"))
+        same = cut(ways.join(colour, ways.parent == colour.fqn).join(own, "node").where("colour = node_colour").select("parent", "node", "colour"))
         reached = frontier = cut(colour.where("fqn = colour"))
         while True:  # up from the namesake, within its colour
-            up = same.join(frontier.select(F.col("fqn").alias("child")), "child").select(F.col("parent").alias("fqn"), "colour").distinct()
+            up = same.join(frontier.select(F.col("fqn").alias("node")), "node", "left_semi").select(F.col("parent").alias("fqn"), "colour").distinct()
             frontier = cut(up.join(reached, "fqn", "left_anti"))
             if _empty(frontier):
                 break
-            reached = cut(reached.union(frontier))
+            reached = reached.union(frontier)
+        reached = cut(reached)
         big = reached.groupBy("colour").count().where("count > 1").select("colour")
         members = members.union(reached.join(big, "colour", "left_semi").select("fqn"))
-        gone = reached.select("fqn")
-        left = cut(left.join(gone, left.parent == gone.fqn, "left_anti").join(gone, left.child == gone.fqn, "left_anti"))
-        left = unpeeled(left)
+        rest = left.select(F.explode(F.array("parent", "child")).alias("fqn")).distinct().join(reached, "fqn", "left_anti")
+        left = cut(between(left, rest))
+        if not _empty(left):  # only what still leads from loop to loop
+            left = cut(between(left, fed_by_loops(reach(left, hops), hops)))
     return cut(members.distinct())
 
 
-def below(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """The nodes that can be reached from start(fqn) by at least one of edges(parent, child)."""
-    frontier, found = start, None
-    while True:
-        down = edges.join(frontier.select(F.col("fqn").alias("parent")), "parent", "left_semi").select(F.col("child").alias("fqn")).distinct()
-        frontier = cut(down.join(found, "fqn", "left_anti") if found is not None else down)
-        if found is not None and _empty(frontier):
-            return found
-        found = frontier if found is None else cut(found.union(frontier))
-
-
-def _steps(edges: DataFrame, hops: int) -> DataFrame:
-    """Ways of 1 to `hops` edges: (parent, slice, tail, node, hops, slices); `tail` joins the names after the parent."""
+def _ways(edges: DataFrame, hops: int) -> DataFrame:
+    """Ways of 1 to `hops` edges: (parent, slice, tail, node, hops, slices); `tail` joins the names after the parent.
+    A type lists few parents, so the ways up from it are few."""
     one = edges.select("parent", "slice", F.col("child").alias("tail"), F.col("child").alias("node"), F.lit(1).alias("hops"), F.col("child_slices").alias("slices"))
-    found = longest = cut(one)
+    found = longest = one
     step = one.select(F.col("parent").alias("p"), F.col("slice").alias("s"), F.col("node").alias("next"), F.col("slices").alias("next_slices"))
     for k in range(2, hops + 1):
         spread = longest.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumnRenamed("node", "p").drop("slices")
@@ -130,31 +132,32 @@ def hierarchy_paths(types: DataFrame, slice_rows: int = 200_000, hops: int = 4)
     A type without parents, or a parent without a row, is a root; `path` joins the names from root to type by `>`.
     A type that is its own ancestor has one row (fqn, '', -1, ''), any other type below such a one (fqn, '', -2, '').
     The latest row of a name holds; rows without a name are left out; an empty table gives no rows.
-    Each round extends the frontier by 1 to `hops` levels in one join.
+    Each round goes 1 to `hops` levels on, in one join.
     """
     nodes, inner, outer = build_graph(types, slice_rows)
-    core = unpeeled(inner.select("parent", "child"))
-    loops = stuck = None
-    if not _empty(core):
-        loops = loop_members(core)
-        stuck = cut(below(inner.select("parent", "child"), loops).union(loops).distinct())
-        free = stuck.select(F.col("fqn").alias("child"))
-        inner = inner.join(free, "child", "left_anti")
-        outer = outer.join(free, "child", "left_anti")
-    steps = _steps(inner, hops)
+    ways = _ways(inner, hops)
+    stuck = fed_by_loops(ways, hops)
+    loops = None
+    if not _empty(stuck):
+        tangled = cut(between(inner, stuck))
+        turned = tangled.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+        loops = loop_members(between(tangled, fed_by_loops(reach(turned, hops), hops)), hops)
+        # what leads to a free type is free
+        ways = cut(ways.join(stuck.select(F.col("fqn").alias("node")), "node", "left_anti"))
+        outer = outer.join(stuck.select(F.col("fqn").alias("child")), "child", "left_anti")
     tops = nodes.where(F.size("parents") == 0).select("fqn", F.col("fqn").alias("root_fqn"), F.lit(0).alias("depth"), F.col("fqn").alias("path"), "slices")
     first = outer.select(F.col("child").alias("fqn"), F.col("parent").alias("root_fqn"), F.lit(1).alias("depth"), F.concat_ws(">", "parent", "child").alias("path"), F.col("child_slices").alias("slices"))
     frontier = out = cut(tops.union(first))
     while True:
         up = frontier.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        down = up.drop("slices").join(steps, (up.fqn == steps.parent) & (up.slice == steps.slice))
+        down = up.drop("slices").join(ways, (up.fqn == ways.parent) & (up.slice == ways.slice))
         level = cut(down.select(F.col("node").alias("fqn"), "root_fqn", (F.col("depth") + F.col("hops")).alias("depth"), F.concat_ws(">", "path", "tail").alias("path"), "slices", "hops"))
         if _empty(level):
             break
         out = out.union(level.drop("hops"))
         frontier = level.where(F.col("hops") == hops).drop("hops")
     out = out.select("fqn", "root_fqn", "depth", "path")
-    if stuck is None:
+    if loops is None:
         return out
     own = loops.withColumn("own", F.lit(True))
     return out.union(stuck.join(own, "fqn", "left").select("fqn", F.lit("").alias("root_fqn"), F.when(F.col("own"), -1).otherwise(-2).alias("depth"), F.lit("").alias("path")))
