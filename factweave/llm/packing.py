@@ -173,7 +173,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, cell: int
     """
     spark = items.sparkSession
     size = F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("bigint"), F.lit(0)), F.lit(0))
-    sized = items.select(F.col(f"`{id_col}`").alias("id"), size.alias("whole"))
+    sized = cut(items.select(F.col(f"`{id_col}`").alias("id"), size.alias("whole")))  # the ranges are sampled: count tokens once
     pieces = sized.select("id", "whole", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / capacity) - 1, F.lit(0)))).alias("piece"))
     pieces = pieces.select("id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"), F.least(F.col("whole") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("size"))
     # ranges of (size, id): a size that very many items share spreads over as many partitions as it fills
