@@ -96,7 +96,8 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int
     names = [g[0] for g in goal]
     code = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map().cast("map<string,int>")
     sized = with_token_counts(docs, [id_col, source_col], text_col, vocabulary)
-    sized = sized.select(F.col(id_col).alias("doc_id"), F.element_at(code, source_name(source_col)).alias("src"), "n_tokens").where("src is not null and n_tokens > 0")
+    # the ranges are sampled: count tokens once
+    sized = cut(sized.select(F.col(id_col).alias("doc_id"), F.element_at(code, source_name(source_col)).alias("src"), "n_tokens").where("src is not null and n_tokens > 0"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
