@@ -1 +1 @@
-"""streaming of the engine."""
+"""Facts that arrive as streams, and snapshots that replace one another whole."""
