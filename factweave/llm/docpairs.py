@@ -9,6 +9,7 @@ emit (documentation, name, function) offsets; whether the description says anyth
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -295,7 +296,7 @@ def language_of(path: str | None, language: str | None, text: str) -> str:
 
 def description(doc: str) -> str:
     """A documentation comment's text before the first block tag, without marks, inline tags and HTML tags."""
-    inner = re.sub(r"\*+/$", "", re.sub(r"^/\*+", "", doc))
+    inner = doc[3:-2].lstrip("*").rstrip("*")
     lines = []
     for x in inner.split("\n"):
         x = re.sub(r"^\s*\*+", "", x).strip()
@@ -316,9 +317,15 @@ def _lines(text: str) -> str:
 
 
 def file_pairs(text: str, language: str) -> list[tuple[int, str, str, str]]:
-    """(line of the name, name, function's code, description) of every documented function of a file."""
+    """(line of the name, name, function's code, description) of every documented function of a file. Types may be
+    nested some thousand levels deep; a file with more gives nothing."""
     s = _lines(text)
-    found = grammar(language)["file"](Text(s), 0)[1]
+    if sys.getrecursionlimit() < 100_000:
+        sys.setrecursionlimit(100_000)
+    try:
+        found = grammar(language)["file"](Text(s), 0)[1]
+    except RecursionError:
+        return []
     out = []
     for _, doc, (a, b), (c, d) in found:
         if doc:

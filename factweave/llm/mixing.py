@@ -53,7 +53,7 @@ def shard_counts(given: np.ndarray, shard: int, seed: int) -> np.ndarray:
             now = np.minimum(rng.multinomial(size, left / left.sum()), left)
             row, left, size = row + now, left - now, size - int(now.sum())
         out.append(row)
-    return np.array(out, np.int64).reshape(-1, len(given))
+    return np.array(out, np.int64).reshape(len(out), len(given))
 
 
 def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
