@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,13 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/factweave/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again: the lineage ends there, later
     stages read only the columns they use, and a lost executor loses nothing."""
-    at = f"{shared_dir(df.sparkSession).rstrip('/')}/factweave/{uuid.uuid4().hex}"
+    at = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables this application's `cut` wrote; DataFrames that still read them can't be used after."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
