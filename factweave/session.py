@@ -26,15 +26,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a temporary one is set only where a local
     session has none, and a cluster without the setting is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    sc.setCheckpointDir(made)
+    return sc.getCheckpointDir()
 
 
 def _own_dir(spark: SparkSession) -> str:
