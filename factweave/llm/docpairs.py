@@ -338,6 +338,9 @@ def file_pairs(text: str, language: str) -> list[tuple[int, str, str, str]]:
 _BEFORE = re.compile(rf'"""(?s:(?:[^"\\]|\\.|"(?!""))*+)"""|{_STRING}|{_CHAR}|{_LINE}|{_COMMENT}')
 
 
+_cut_off = re.compile(r"/\*\*[ \t]*[^\s*](?:(?!\*/).)*+\n(?s:.*)^\s*\}\s*$", re.M).match
+
+
 def _is_comment_start(s: str, at: int) -> bool:
     """Whether a comment can begin here, looking back to the end of the comment before."""
     before = s.rfind("*/", 0, at)
@@ -351,7 +354,8 @@ def method_pair(name: str, content: str, before: str | None) -> tuple[str, str,
     """(name, code, description) of a single method with the lines before it, if its whole documentation is there.
 
     The lines may begin anywhere, in a comment or in another function, so the grammar's function rule is tried at
-    each documentation comment, the nearest first, until one leads up to the method."""
+    each documentation comment, the nearest first, until one leads up to the method. A comment that opens the lines
+    with text and holds a line with just a closing brace is code put into a comment whose beginning was cut off."""
     code = _lines(content)
     s = _lines(before or "") + "\n" + code
     edge = len(s) - len(code)
@@ -362,6 +366,8 @@ def method_pair(name: str, content: str, before: str | None) -> tuple[str, str,
         if _is_comment_start(s, at) and (r := parse(Text(s), at)):
             _, doc, (a, b), (c, d) = r[1][0]
             if doc and a >= edge and a <= end and s[a:b].strip("`") == name:
+                if not s[:at].strip() and _cut_off(s, at, doc[1]):
+                    return None
                 said = description(s[doc[0] : doc[1]])
                 return (name, s[c:d], said) if is_informative(said, name) else None
     return None

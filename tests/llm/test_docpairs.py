@@ -144,6 +144,8 @@ def test_methods():
     assert method_pair("go", "    int go() { return 1; }", "    // /** Quick brown fox. */") is None
     assert method_pair("go", "    int go() { return 1; }", "    /*\n    /** Quick brown fox.\n    */") is None
     assert method_pair("go", "    int go() { return 1; }", doc + "\n    int a;") is None
+    assert method_pair("go", "    int go() { return 1; }", "    /** Quick brown fox.\n    void x() {\n    }\n    */") is None  # its /* was cut off
+    assert method_pair("go", "    int go() { return 1; }", "    /**\n     Quick brown fox:\n     }\n    */") is not None
     assert method_pair("go", "    fun go(): Int = 1", "  }\n" + doc) is not None
     assert method_pair("go", "    fun go(): Int", doc) is None
     assert method_pair("go", "    int go() { return 1; }", 'it\'s cut off\n  }\n""";\n' + doc) is not None
