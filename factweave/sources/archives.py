@@ -1,0 +1,52 @@
+"""Source files inside archives, as rows."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .classpath import is_zip, safe_entry
+
+
+def source_entries(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".java", ".kt")) -> DataFrame:
+    """(archive, entry, content): the source files in the jars and zips below a folder, each archive read by one task.
+    Files that aren't archives, or are broken, give nothing; nor do entries that would leave the folder they are
+    extracted to, or that aren't UTF-8."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(data))
+                except zipfile.BadZipFile:
+                    continue
+                for info in archive.infolist():
+                    if not info.is_dir() and info.filename.endswith(endings):
+                        try:
+                            text = archive.read(info).decode("utf-8")
+                        except (UnicodeDecodeError, zipfile.BadZipFile):
+                            continue
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info.filename]), pa.array([text])], names=["archive", "entry", "content"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jar,zip}").load(folder)
+    rows = files.where(is_zip(F.col("content"))).select("path", "content").mapInArrow(unpack, "archive string, entry string, content string")
+    return rows.where(safe_entry(F.col("entry")))
+
+
+def entry_for_type(entries: DataFrame, types: DataFrame) -> DataFrame:
+    """(fqn, archive, entry): the entry that holds each type, by its name as a path below any module folder: `.java`
+    before `.kt`, its own before its outermost type's, then the least."""
+    path = lambda c: F.replace(c, F.lit("."), F.lit("/"))
+    outer = F.substring_index("fqn", "$", 1)
+    wanted = types.select("fqn", F.explode(F.array(*[F.struct(F.concat(path(n), F.lit(e)).alias("tail"), F.lit(2 * i + j).alias("rank")) for i, n in enumerate((F.col("fqn"), outer)) for j, e in enumerate((".java", ".kt"))])).alias("w"))
+    wanted = wanted.select("fqn", "w.tail", "w.rank")
+    # every tail of an entry's path, so that module folders before the package don't matter
+    parts = F.split("entry", "/")
+    tails = entries.select("archive", "entry", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("tail"))
+    best = wanted.join(tails, "tail").groupBy("fqn").agg(F.min(F.struct("rank", "archive", "entry")).alias("b"))
+    return best.select("fqn", "b.archive", "b.entry")
