@@ -81,11 +81,12 @@ def source_name(c: str):
     return F.lower(F.btrim(F.col(f"`{c}`"), F.lit(BLANKS)))
 
 
-def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int | None = None, shard: int = 1024, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int | None = None, shard: int = 1024, most_shards: int = 65_536, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """(shard, slot, source, block, use, doc_id, start, tokens): what each slot of the mix holds, one row for each
     stretch of a document's tokens in the slot's block; `use` counts a block's uses from 1.
 
-    `total_blocks` defaults to as many as the documents fill. Of targets with the same name the one that sorts last
+    `total_blocks` defaults to as many as the documents fill. A shard has `shard` blocks, or more if there would be more
+    than `most_shards` otherwise: the table of draws stays small however much there is to mix. Of targets with the same name the one that sorts last
     holds; null, negative and missing shares are 0 and null repeats 1. Documents of a source without target, and
     empty or null texts, add nothing. Empty tables give no rows. The last block of a source may be shorter.
     """
@@ -122,6 +123,7 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int
         totals[r["src"]] += r["n"]
     blocks = -(-totals // block)
     given = quotas(blocks, np.array([g[1] for g in goal]), np.array([g[2] for g in goal], np.int64), int(blocks.sum()) if total_blocks is None else total_blocks)
+    shard = max(shard, -(-int(given.sum()) // most_shards))
     table = shard_counts(given, shard, seed)
     before = np.cumsum(table, axis=0) - table  # a source's first slot in each shard
     shared = spark.sparkContext.broadcast((offsets, blocks, table, before))  # sources x (parts + shards) numbers
@@ -149,7 +151,7 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int
                 nth[order] = np.arange(len(src)) - np.repeat(np.cumsum(table[k]) - table[k], table[k])
                 nth += before[k][src]
                 use, number = nth // blocks[src], nth % blocks[src]
-                for s, u in set(zip(src.tolist(), use.tolist(), strict=True)):
+                for s, u in np.unique(np.stack([src, use]), axis=1).T.tolist():
                     at = np.flatnonzero((src == s) & (use == u))
                     number[at] = permuted(number[at], int(blocks[s]), seed * 1_000_003 + s * 1009 + u)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), k)), pa.array(np.arange(len(src)) + k * shard), pa.array(src.astype(np.int32)), pa.array(number), pa.array((use + 1).astype(np.int32))], names=["shard", "slot", "src", "block", "use"])
