@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,21 @@ def clear(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once per application, as `--py-files` would; needed where it isn't
+    installed or on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root, at = Path(__file__).parent, Path(tempfile.mkdtemp(prefix="factweave-")) / "factweave.zip"
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)  # the driver hands the file out until it ends
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(at))
+    _shipped.add(sc.applicationId)
