@@ -21,3 +21,12 @@ def spark():
 @pytest.fixture(scope="session")
 def smallest() -> str:
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def empty(spark, smallest, tmp_path_factory) -> str:
+    """All tables without rows."""
+    at = tmp_path_factory.mktemp("empty")
+    for p in Path(smallest).glob("*.parquet"):
+        spark.read.parquet(str(p)).limit(0).write.parquet(f"{at}/{p.name}")
+    return str(at)

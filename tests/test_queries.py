@@ -27,3 +27,12 @@ def test_entry_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert {"p1_found", "p3_found", "p5_found"} <= set(e.queries())
+
+
+#: What queries give for empty tables, where it isn't nothing: a row of zeros, a graph's first and last line, absent technologies.
+OF_NOTHING = {"classes_stats": 1, "deps_dot": 2, "recipe_stack": 5}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert QUERIES[name](spark, empty).count() == OF_NOTHING.get(name, 0)
