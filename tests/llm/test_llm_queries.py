@@ -17,6 +17,12 @@ def test_runs(spark, smallest, name):
     assert queries.QUERIES[name](spark, smallest).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, empty, name):
+    found = queries.QUERIES[name](spark, empty)
+    assert found.count() == 0
+
+
 def test_the_core_does_not_need_this_package():
     from pathlib import Path
 
