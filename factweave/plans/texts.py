@@ -76,7 +76,7 @@ def source_declarations(f: Facts) -> DataFrame:
     """For the last line of every Java file the nearest declaration above it."""
     java = f.sources.where("language = 'JAVA'")
     lines = text.source_lines(java)
-    return text.declaration_starts(lines, lines.where("line_no = last_no").select("path", F.col("line_no").alias("at")), "JAVA")
+    return text.declaration_starts(lines, lines.groupBy("path").agg(F.max("line_no").alias("at")), "JAVA")
 
 
 @query
