@@ -137,12 +137,19 @@ def hierarchy_paths(types: DataFrame, slice_rows: int = 200_000, hops: int = 4)
     nodes, inner, outer = build_graph(types, slice_rows)
     ways = _ways(inner, hops)
     stuck = fed_by_loops(ways, hops)
-    loops = None
-    if not _empty(stuck):
-        tangled = cut(between(inner, stuck))
-        turned = tangled.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-        loops = loop_members(between(tangled, fed_by_loops(reach(turned, hops), hops)), hops)
-        # what leads to a free type is free
+    if _empty(stuck):
+        return _free_paths(nodes, outer, ways, hops)
+    tangled = cut(between(inner, stuck))
+    turned = tangled.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    loops = loop_members(between(tangled, fed_by_loops(reach(turned, hops), hops)), hops)
+    out = _free_paths(nodes, outer, ways, hops, stuck)
+    own = loops.withColumn("own", F.lit(True))
+    return out.union(stuck.join(own, "fqn", "left").select("fqn", F.lit("").alias("root_fqn"), F.when(F.col("own"), -1).otherwise(-2).alias("depth"), F.lit("").alias("path")))
+
+
+def _free_paths(nodes: DataFrame, outer: DataFrame, ways: DataFrame, hops: int, stuck: DataFrame | None = None) -> DataFrame:
+    """The rows of `hierarchy_paths` of the types that aren't among stuck(fqn), those in or below loops."""
+    if stuck is not None:  # what leads to a free type is free
         ways = cut(ways.join(stuck.select(F.col("fqn").alias("node")), "node", "left_anti"))
         outer = outer.join(stuck.select(F.col("fqn").alias("child")), "child", "left_anti")
     tops = nodes.where(F.size("parents") == 0).select("fqn", F.col("fqn").alias("root_fqn"), F.lit(0).alias("depth"), F.col("fqn").alias("path"), "slices")
@@ -156,16 +163,42 @@ def hierarchy_paths(types: DataFrame, slice_rows: int = 200_000, hops: int = 4)
             break
         out = out.union(level.drop("hops"))
         frontier = level.where(F.col("hops") == hops).drop("hops")
-    out = out.select("fqn", "root_fqn", "depth", "path")
-    if loops is None:
-        return out
-    own = loops.withColumn("own", F.lit(True))
-    return out.union(stuck.join(own, "fqn", "left").select("fqn", F.lit("").alias("root_fqn"), F.when(F.col("own"), -1).otherwise(-2).alias("depth"), F.lit("").alias("path")))
+    return out.select("fqn", "root_fqn", "depth", "path")
 
 
 def descendant_pairs(paths: DataFrame) -> DataFrame:
     """(fqn, descendant_fqn): each proper ancestor with each type below it, once, from rows of `hierarchy_paths`;
-    types in or below loops have none."""
+    types in or below loops have none. `all_descendants` has theirs too."""
     names = F.split("path", ">")
     pairs = paths.where("depth > 0").select(F.explode(F.slice(names, 1, F.size(names) - 1)).alias("fqn"), F.col("fqn").alias("descendant_fqn"))
     return pairs.distinct()
+
+
+def all_descendants(types: DataFrame, slice_rows: int = 200_000, hops: int = 4) -> DataFrame:
+    """(fqn, descendant_fqn): each ancestor with each type below it, once, in and below loops too.
+
+    A type that is its own ancestor is its own descendant; a parent without a row is an ancestor. Pairs of free types
+    come from their paths. A type in or below a loop has no path: pairs between such types are joined on, 1 to `hops`
+    levels a round, until none is new; those with free ancestors come from the edges that enter them.
+    """
+    nodes, inner, outer = build_graph(types, slice_rows)
+    ways = _ways(inner, hops)
+    stuck = fed_by_loops(ways, hops)
+    if _empty(stuck):
+        return descendant_pairs(_free_paths(nodes, outer, ways, hops))
+    free = cut(descendant_pairs(_free_paths(nodes, outer, ways, hops, stuck)))
+    inside = frontier = near = cut(reach(between(inner, stuck), hops).select("parent", "node").distinct())
+    step = near.select(F.col("parent").alias("node"), F.col("node").alias("next"))
+    while True:
+        far = frontier.join(step, "node").select("parent", F.col("next").alias("node")).distinct()
+        frontier = cut(far.join(inside, ["parent", "node"], "left_anti"))
+        if _empty(frontier):
+            break
+        inside = inside.union(frontier)
+    inside = cut(inside)
+    edges = inner.select("parent", "child").union(outer.select("parent", "child"))
+    entering = edges.join(stuck.select(F.col("fqn").alias("child")), "child", "left_semi").join(stuck.select(F.col("fqn").alias("parent")), "parent", "left_anti")
+    higher = free.join(entering, free.descendant_fqn == entering.parent).select("fqn", "child")
+    entered = cut(entering.select(F.col("parent").alias("fqn"), "child").union(higher).distinct())
+    below = entered.join(inside, entered.child == inside.parent).select("fqn", F.col("node").alias("descendant_fqn"))
+    return free.union(inside.select("parent", "node")).union(entered.union(below).distinct())

@@ -36,7 +36,12 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendant_pairs(hierarchy.hierarchy_paths(table(spark, folder, "types")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_annotations, p1_sites, p3_found, p5_found, p5_descendants)}
+def p5_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """With the descendants in and below loops, which p5_descendants leaves out."""
+    return hierarchy.all_descendants(table(spark, folder, "types"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_annotations, p1_sites, p3_found, p5_found, p5_descendants, p5_all_descendants)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -105,3 +110,4 @@ SELECT w.fqn, w.root_fqn, w.depth, w.path FROM ways w JOIN held h ON h.fqn = w.f
 UNION ALL
 SELECT fqn, '', CASE WHEN fqn IN (SELECT fqn FROM loops) THEN -1 ELSE -2 END, '' FROM stuck"""
 SQL["p5_descendants"] = _GRAPH + "SELECT DISTINCT anc AS fqn, fqn AS descendant_fqn FROM above WHERE fqn NOT IN (SELECT fqn FROM stuck)"
+SQL["p5_all_descendants"] = _GRAPH + "SELECT anc AS fqn, fqn AS descendant_fqn FROM above"

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from factweave.operators.hierarchy import descendant_pairs, hierarchy_paths
+from factweave.operators.hierarchy import all_descendants, descendant_pairs, hierarchy_paths
 
 SCHEMA = "fqn string, superclass string, interfaces array<string>, scanned_at timestamp, path string, depth int"
 T0 = datetime(2025, 1, 1)
@@ -74,3 +74,26 @@ def test_loops_between_loops(spark):
 
 def test_empty(spark):
     assert hierarchy_paths(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_descendants_in_and_below_loops(spark):
+    up = {"a": ["b"], "b": ["a", "top"], "c": ["b", "lib.X"], "d": ["c", "e"], "e": ["d"], "f": ["e"], "g": ["g"], "top": ["root"], "root": [], "free": ["top"]}
+    df = spark.createDataFrame([(f, None, ps, T0, None, None) for f, ps in up.items()], SCHEMA)
+    want = set()
+    for f in up:
+        seen, todo = set(), list(up[f])
+        while todo:
+            p = todo.pop()
+            if p not in seen:
+                seen.add(p)
+                todo += up.get(p, [])
+        want |= {(p, f) for p in seen}
+    for hops in (1, 4):
+        assert sorted(tuple(x) for x in all_descendants(df, slice_rows=2, hops=hops).collect()) == sorted(want)
+    assert ("root", "f") in want and ("a", "a") in want and ("lib.X", "e") in want
+
+
+def test_descendants_without_loops(spark):
+    df = spark.createDataFrame([("b", "a", [], T0, None, None), ("c", "b", [], T0, None, None)], SCHEMA)
+    assert sorted(tuple(x) for x in all_descendants(df).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert all_descendants(df.limit(0)).collect() == []
