@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def check_page(page: int = 0, size: int = 50) -> tuple[int, int]:
     if page < 0 or size < 1:
@@ -27,3 +29,15 @@ def paginate(df: DataFrame, keys: list[Column], page: int = 0, size: int = 50) -
     top = df.orderBy(*keys).limit(end).offset(page * size)
     # at most `size` rows are left to number
     return top.withColumn("row_no", F.row_number().over(Window.orderBy(*keys)).cast("bigint") + page * size)
+
+
+def number_rows(df: DataFrame, keys: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """All rows with their place from 1 in the order of the keys, which has to be total. Rows are numbered within range
+    partitions; what the partitions before hold is added."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
+    # a row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)).cast("bigint")
+    return ranged.withColumn("_own", own).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))

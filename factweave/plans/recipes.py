@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import returns_match
-from ..operators import calls, catalog, graph, nested
+from ..operators import calls, catalog, graph, nested, paging
 from ..session import cut
 from ..sources.facts import Facts
 
@@ -74,15 +74,19 @@ def next_calls(facts: Facts) -> DataFrame:
     return c.where("invoke_dynamic").select("call_id", "impl_method_name", "next_owner", "next_method")
 
 
-def migration_order(facts: Facts) -> DataFrame:
-    """(fqn, dependents, dependencies, size, size_bucket, dependency_bucket, place): project types with the measures that
-    decide when to move them; those that depend on the least come first, of equals the most depended on."""
+def migration_measures(facts: Facts) -> DataFrame:
+    """(fqn, dependents, dependencies, size, size_bucket, dependency_bucket): project types with the measures that decide
+    when to move them."""
     nodes = graph.graph_nodes(facts).select("fqn", F.col("in_degree").alias("dependents"), F.col("out_degree").alias("dependencies"))
     counts = catalog.member_counts(facts).select("fqn", (F.col("method_count") + F.col("field_count")).alias("size"))
     n = nodes.join(counts, "fqn", "left").fillna(0, ["size"])
     bucket = lambda c, steps: F.when(F.col(c) <= steps[0], "LOW").when(F.col(c) <= steps[1], "MEDIUM").otherwise("HIGH")
-    n = n.withColumn("size_bucket", bucket("size", (10, 30))).withColumn("dependency_bucket", bucket("dependencies", (3, 8)))
-    return n.withColumn("key", F.struct("dependencies", -F.col("dependents"), "fqn"))
+    return n.withColumn("size_bucket", bucket("size", (10, 30))).withColumn("dependency_bucket", bucket("dependencies", (3, 8)))
+
+
+def migration_order(facts: Facts) -> DataFrame:
+    """The measures with `place`, from 1: types that depend on the least come first, of equals the most depended on."""
+    return paging.number_rows(migration_measures(facts), [F.col("dependencies"), F.col("dependents").desc(), F.col("fqn")], "place")
 
 
 def call_trace(facts: Facts, annotation: str, depth: int = 3) -> DataFrame:

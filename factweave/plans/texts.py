@@ -165,7 +165,13 @@ def recipe_unused(f: Facts) -> DataFrame:
 
 @query
 def recipe_migration(f: Facts) -> DataFrame:
-    return recipes.migration_order(f).drop("key")
+    """The measures; recipe_migration_order has each type's place too."""
+    return recipes.migration_measures(f)
+
+
+@query
+def recipe_migration_order(f: Facts) -> DataFrame:
+    return recipes.migration_order(f)
 
 
 @query
@@ -285,3 +291,5 @@ FROM (SELECT t.fqn, (SELECT count(*) FROM g WHERE g.target = t.fqn) AS dependent
 SELECT start, fqn, 1 AS depth FROM one UNION ALL SELECT start, fqn, 2 FROM (SELECT * FROM two EXCEPT SELECT * FROM one) WHERE start <> fqn"""),
     "recipe_census": _sql("r", " SELECT type_fqn, kind, count(*) AS n FROM r WHERE type_fqn IN (" + ", ".join(f"'{x}'" for x in CENSUS) + ") GROUP BY 1, 2"),
 }
+
+SQL["recipe_migration_order"] = "SELECT *, row_number() OVER (ORDER BY dependencies, dependents DESC, fqn) AS place FROM (" + SQL["recipe_migration"] + ")"
