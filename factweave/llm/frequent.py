@@ -62,6 +62,11 @@ def count_intervals(rows: DataFrame, columns: list[str], width: int = 10_000) ->
     value adding its base. A value that is missing altogether has at most sum(base) rows. Rows with a null in any
     column are left out; an empty table gives no rows.
     """
+    return _intervals(rows, columns, width)[0]
+
+
+def _intervals(rows: DataFrame, columns: list[str], width: int) -> tuple[DataFrame, int]:
+    """The rows of `count_intervals`, and sum(base), the most rows of a value that no partition holds."""
     names = [f"k{i}" for i in range(len(columns))]
     keep = rows.select(*[F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(columns, names, strict=True)]).dropna()
 
@@ -76,7 +81,7 @@ def count_intervals(rows: DataFrame, columns: list[str], width: int = 10_000) ->
     merged = cut(merged)
     missed = merged.where("k0 is null").agg(F.sum("gap")).head()[0] or 0  # one number
     held = merged.where("k0 is not null")
-    return held.select(*[F.col(k).alias(c) for c, k in zip(columns, names, strict=True)], F.col("n").alias("lower"), (F.col("n") + F.col("gap") + missed).alias("upper"))
+    return held.select(*[F.col(k).alias(c) for c, k in zip(columns, names, strict=True)], F.col("n").alias("lower"), (F.col("n") + F.col("gap") + missed).alias("upper")), missed
 
 
 def contenders(intervals: DataFrame, k: int) -> DataFrame:
@@ -90,16 +95,16 @@ def most_frequent(rows: DataFrame, columns: list[str], k: int, width: int = 10_0
 
     Lossy counting names the contenders; a second pass counts only those. Should the k-th count lie within what
     lossy counting may have missed of a value it doesn't hold, a smaller error (a larger width) is needed: the
-    pass repeats with ten times the width, so nothing is lost at any size.
+    pass repeats with ten times the width, so nothing is lost at any size. So it does should fewer than k be found,
+    unless theirs are all rows.
     """
     keep = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).dropna()
     while True:
-        intervals = cut(count_intervals(rows, columns, width))
-        some = cut(contenders(intervals, k))
+        intervals, missed = _intervals(rows, columns, width)
+        some = cut(contenders(cut(intervals), k))
         exact = keep.join(some.select(*columns), columns, "left_semi").groupBy(*columns).agg(F.count("*").alias("n"))
         top = cut(exact.orderBy(F.desc("n"), *columns).limit(k))
-        least, found = top.agg(F.min("n"), F.count("*")).head()
-        missed = intervals.agg(F.max(F.col("upper") - F.col("lower"))).head()[0] or 0
-        if not found or missed <= 1 or (found == k and least > missed):
+        least, found, covered = top.agg(F.min("n"), F.count("*"), F.sum("n")).head()
+        if not missed or (found == k and least > missed) or covered == keep.count():
             return top
         width *= 10

@@ -54,3 +54,18 @@ def test_most_frequent(spark, k):
 def test_empty(spark):
     df = spark.createDataFrame([(None, "x")], "o string, m string")
     assert most_frequent(df, ["o", "m"], 5).collect() == [] and count_intervals(df, ["o", "m"]).collect() == []
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_nothing_is_lost_where_partitions_end_with_a_bucket(spark, hot):
+    rows = [(f"hot{i}", "m") for i in range(hot) for _ in range(20)]
+    rows += [(f"rare{i:03}", "m") for i in range(100 - len(rows))]
+    df = spark.createDataFrame(rows, "o string, m string").coalesce(1)
+    want = sorted(Counter(rows).items(), key=lambda x: (-x[1], x[0]))[:7]
+    got = sorted((((r["o"], r["m"]), r["n"]) for r in most_frequent(df, ["o", "m"], 7, width=50).collect()), key=lambda x: (-x[1], x[0]))
+    assert got == want
+
+
+def test_few_values_need_no_second_pass(spark):
+    df = spark.createDataFrame([("a", "m")] * 150 + [("b", "m")] * 50, "o string, m string").coalesce(1)
+    assert sorted(tuple(r) for r in most_frequent(df, ["o", "m"], 7, width=50).collect()) == [("a", "m", 150), ("b", "m", 50)]
