@@ -400,20 +400,24 @@ def _from_methods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _emit(rows)
 
 
+def _all_pairs(sources: DataFrame, methods: DataFrame) -> DataFrame:
+    """The rows of `documented_functions`, as often as they are read."""
+    files = sources.select("fqn", "path", "language", "content").where("fqn is not null and content is not null").mapInArrow(_from_files, _COLUMNS)
+    single = methods.select("class_fqn", "method_name", "start_line", "content", "context_before")
+    single = single.where("class_fqn is not null and method_name is not null and start_line is not null and content is not null").mapInArrow(_from_methods, _COLUMNS)
+    return files.unionByName(single)
+
+
 def documented_functions(sources: DataFrame, methods: DataFrame) -> DataFrame:
     """(class_fqn, start_line, function, code, description): the documented functions of sources(fqn, path, language,
-    content) and methods(class_fqn, method_name, start_line, content, context_before), one row for each class and line.
+    content) and methods(class_fqn, method_name, start_line, content, context_before), each different one once.
 
-    Rows without class, text, name or line give nothing. Copies of a file or method count once; of differing ones the
-    pair that sorts last stays. Texts that aren't well formed give what can be read of them; empty tables no rows.
+    Rows without class, text, name or line give nothing. Copies of a file or method count once; differing ones at one
+    line of a class all stay. Texts that aren't well formed give what can be read of them; empty tables no rows.
     """
-    files = sources.select("fqn", "path", "language", "content").where("fqn is not null and content is not null").mapInArrow(_from_files, _COLUMNS)
-    single = methods.select("class_fqn", "method_name", "start_line", "content", "context_before")
-    single = single.where("class_fqn is not null and method_name is not null and start_line is not null and content is not null").mapInArrow(_from_methods, _COLUMNS)
-    pair = F.struct("function", "code", "description")
-    return files.unionByName(single).groupBy("class_fqn", "start_line").agg(F.max(pair).alias("p")).select("class_fqn", "start_line", "p.function", "p.code", "p.description")
+    return _all_pairs(sources, methods).distinct()
 
 
 def documented_places(sources: DataFrame, methods: DataFrame) -> DataFrame:
     """(class_fqn, start_line) of the documented functions, each once."""
-    return documented_functions(sources, methods).select("class_fqn", "start_line")
+    return _all_pairs(sources, methods).select("class_fqn", "start_line").distinct()

@@ -157,3 +157,11 @@ def test_tables(spark):
     got = sorted(tuple(r) for r in documented_places(sources, methods).collect())
     assert got == sorted([("a.Foo", a) for a in {x[0] for x in file_pairs(JAVA, "JAVA")}] + [("b.K", x[0]) for x in file_pairs(KOTLIN, "KOTLIN")] + [("m.A", 5)])
     assert documented_functions(sources.limit(0), methods.limit(0)).collect() == []
+
+
+def test_pairs_at_one_line_all_stay(spark):
+    sources = spark.createDataFrame([], "fqn string, path string, language string, content string")
+    rows = [("m.A", n, 5, f"int {n}() {{ return 1; }}", "/** Quick brown fox. */") for n in ("go", "stop", "go")]
+    methods = spark.createDataFrame(rows, "class_fqn string, method_name string, start_line int, content string, context_before string")
+    assert sorted(r["function"] for r in documented_functions(sources, methods).collect()) == ["go", "stop"]
+    assert [tuple(r) for r in documented_places(sources, methods).collect()] == [("m.A", 5)]
