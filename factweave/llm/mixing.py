@@ -43,17 +43,38 @@ def quotas(blocks: np.ndarray, shares: np.ndarray, repeats: np.ndarray, total: i
     return given
 
 
-def shard_counts(given: np.ndarray, shard: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each output shard of `shard` blocks: multinomial draws with the shares of what is
-    left, never more than is left, so that all shards together hold exactly what was given."""
-    rng, left, out = np.random.default_rng(seed), given.astype(np.int64).copy(), []
-    while left.sum():
-        size, row = int(min(shard, left.sum())), np.zeros(len(left), np.int64)
-        while size:
-            now = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            row, left, size = row + now, left - now, size - int(now.sum())
-        out.append(row)
-    return np.array(out, np.int64).reshape(len(out), len(given))
+def draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """`size` blocks drawn from what is left of each source: multinomial draws with the shares of what is left, drawn
+    again where a source would give more than it has."""
+    left, row = left.copy(), np.zeros(len(left), np.int64)
+    while size:
+        now = np.minimum(rng.multinomial(size, left / left.sum()), left)
+        row, left, size = row + now, left - now, size - int(now.sum())
+    return row
+
+
+def shard_counts(given: np.ndarray, shard: int, seed: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard number, blocks of each source in it, blocks of each source in all shards before it) of the output shards
+    first..last-1 of `shard` blocks each. All shards together hold exactly what was given.
+
+    Halves are drawn from the whole, quarters from the halves and so on, each draw seeded by its place: any range of
+    shards can be told on its own, without a table of all."""
+    total = int(given.sum())
+    shards = -(-total // shard)
+
+    def halves(lo: int, hi: int, own: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= (shards if last is None else last):
+            return
+        if hi - lo == 1:
+            yield lo, own, before
+            return
+        mid = (lo + hi) // 2
+        row = draw(own, (mid - lo) * shard, np.random.default_rng([seed, lo, hi]))
+        yield from halves(lo, mid, row, before)
+        yield from halves(mid, hi, own - row, before + row)
+
+    if shards:
+        yield from halves(0, shards, given.astype(np.int64), np.zeros(len(given), np.int64))
 
 
 def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -81,14 +102,16 @@ def source_name(c: str):
     return F.lower(F.btrim(F.col(f"`{c}`"), F.lit(BLANKS)))
 
 
-def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int | None = None, shard: int = 1024, most_shards: int = 65_536, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int | None = None, shard: int = 1024, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """(shard, slot, source, block, use, doc_id, start, tokens): what each slot of the mix holds, one row for each
     stretch of a document's tokens in the slot's block; `use` counts a block's uses from 1.
 
-    `total_blocks` defaults to as many as the documents fill. A shard has `shard` blocks, or more if there would be more
-    than `most_shards` otherwise: the table of draws stays small however much there is to mix. Of targets with the same name the one that sorts last
+    `total_blocks` defaults to as many as the documents fill. Of targets with the same name the one that sorts last
     holds; null, negative and missing shares are 0 and null repeats 1. Documents of a source without target, and
     empty or null texts, add nothing. Empty tables give no rows. The last block of a source may be shorter.
+
+    Executors get a few numbers for each source with a target and each range partition. Slots and stretches meet in a
+    sort-merge join: a block has at most `block` stretches and `max_repeats` slots, so its keys are even.
     """
     spark = docs.sparkSession
     named = targets.select(source_name("source").alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats")).where("source is not null")
@@ -123,10 +146,7 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int
         totals[r["src"]] += r["n"]
     blocks = -(-totals // block)
     given = quotas(blocks, np.array([g[1] for g in goal]), np.array([g[2] for g in goal], np.int64), int(blocks.sum()) if total_blocks is None else total_blocks)
-    shard = max(shard, -(-int(given.sum()) // most_shards))
-    table = shard_counts(given, shard, seed)
-    before = np.cumsum(table, axis=0) - table  # a source's first slot in each shard
-    shared = spark.sparkContext.broadcast((offsets, blocks, table, before))  # sources x (parts + shards) numbers
+    shared = spark.sparkContext.broadcast((offsets, blocks, given))  # a number per source and range partition
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = shared.value[0]
@@ -142,14 +162,17 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(src[row]), pa.array(number), pa.array(lo - start[row]), pa.array(hi - lo)], names=["doc_id", "src", "block", "start", "tokens"])
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, blocks, table, before = shared.value
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                src = np.random.default_rng([seed, k]).permutation(np.repeat(np.arange(len(blocks)), table[k]))
+        _, blocks, given = shared.value
+        for batch in batches:  # shard numbers one after another
+            if not batch.num_rows:
+                continue
+            first = batch.column(0)[0].as_py()
+            for k, row, before in shard_counts(given, shard, seed, first, first + batch.num_rows):
+                src = np.random.default_rng([seed, k]).permutation(np.repeat(np.arange(len(blocks)), row))
                 order = np.argsort(src, kind="stable")
                 nth = np.empty(len(src), np.int64)
-                nth[order] = np.arange(len(src)) - np.repeat(np.cumsum(table[k]) - table[k], table[k])
-                nth += before[k][src]
+                nth[order] = np.arange(len(src)) - np.repeat(np.cumsum(row) - row, row)
+                nth += before[src]
                 use, number = nth // blocks[src], nth % blocks[src]
                 for s, u in np.unique(np.stack([src, use]), axis=1).T.tolist():
                     at = np.flatnonzero((src == s) & (use == u))
@@ -157,15 +180,17 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, total_blocks: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), k)), pa.array(np.arange(len(src)) + k * shard), pa.array(src.astype(np.int32)), pa.array(number), pa.array((use + 1).astype(np.int32))], names=["shard", "slot", "src", "block", "use"])
 
     held = laid.mapInArrow(segments, f"doc_id {id_type}, src int, block bigint, start bigint, tokens bigint")
-    drawn = spark.range(0, len(table), 1, max(1, min(len(table), parts))).mapInArrow(slots, "shard bigint, slot bigint, src int, block bigint, use int")
+    shards = -(-int(given.sum()) // shard)
+    drawn = spark.range(0, shards, 1, max(1, min(shards, parts))).mapInArrow(slots, "shard bigint, slot bigint, src int, block bigint, use int")
     source = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("src") + 1) if names else F.lit(None).cast("string")
-    return drawn.join(held, ["src", "block"]).select("shard", "slot", source.alias("source"), "block", "use", F.col("doc_id").alias(id_col), "start", "tokens")
+    # drawn rows look few to the optimiser, but there is one for every block of the mix: never broadcast
+    return drawn.hint("merge").join(held, ["src", "block"]).select("shard", "slot", source.alias("source"), "block", "use", F.col("doc_id").alias(id_col), "start", "tokens")
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, share, most_uses): what each source of the targets contributes."""
-    got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("use").alias("most_uses"))
+    got = cut(mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("use").alias("most_uses")))  # a row per source
     goal = targets.groupBy(source_name("source").alias("source")).agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).where("source is not null")
     both = goal.select("source", "g.target_share", "g.max_repeats").join(got, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
-    total = both.agg(F.sum("tokens")).head()[0] or 0
+    total = got.agg(F.sum("tokens")).head()[0] or 0
     return both.withColumn("share", F.col("tokens") / F.lit(total) if total else F.lit(0.0))

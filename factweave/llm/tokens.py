@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ def encoding(data: bytes, pattern: str = PATTERN):
     """The tokenizer of a vocabulary file's bytes, made once per worker."""
     import tiktoken
 
-    key = data[:64] + pattern.encode()
+    key = hashlib.sha256(data + pattern.encode()).digest()
     if key not in _made:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         _made[key] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

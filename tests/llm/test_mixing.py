@@ -18,9 +18,19 @@ def test_quotas():
 
 def test_shards_add_up():
     given = np.array([500, 30, 0, 1])
-    t = shard_counts(given, 64, 3)
-    assert (t.sum(axis=0) == given).all() and (t.sum(axis=1)[:-1] == 64).all()
-    assert len(shard_counts(np.zeros(3, int), 64, 3)) == 0
+    t = list(shard_counts(given, 64, 3))
+    assert [k for k, _, _ in t] == list(range(9))
+    assert (sum(row for _, row, _ in t) == given).all() and [row.sum() for _, row, _ in t[:-1]] == [64] * 8
+    assert all((before == sum((r for _, r, _ in t[:k]), np.zeros(4, int))).all() for k, _, before in t)
+    some = list(shard_counts(given, 64, 3, 4, 7))  # a range of shards alone
+    assert [k for k, _, _ in some] == [4, 5, 6] and all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(some, t[4:7], strict=True))
+    assert not list(shard_counts(np.zeros(3, int), 64, 3))
+
+
+def test_slots_are_not_broadcast(spark):
+    at = "/root/testdata/sf0.001"
+    m = mix(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/mix_targets.parquet"), block=8)
+    assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
