@@ -90,21 +90,25 @@ def contenders(intervals: DataFrame, k: int) -> DataFrame:
     return intervals.where(F.col("upper") >= (lowers[-1] if len(lowers) == k else 0))
 
 
-def most_frequent(rows: DataFrame, columns: list[str], k: int, width: int = 10_000) -> DataFrame:
+def _top(counts: DataFrame, columns: list[str], k: int) -> DataFrame:
+    return cut(counts.orderBy(F.desc("n"), *columns).limit(k))
+
+
+def most_frequent(rows: DataFrame, columns: list[str], k: int, width: int = 10_000, widest: int = 1_000_000) -> DataFrame:
     """(columns..., n): the k most frequent values with their exact counts; ties go to the smaller value.
 
-    Lossy counting names the contenders; a second pass counts only those. Should the k-th count lie within what
-    lossy counting may have missed of a value it doesn't hold, a smaller error (a larger width) is needed: the
-    pass repeats with ten times the width, so nothing is lost at any size. So it does should fewer than k be found,
-    unless theirs are all rows.
+    Lossy counting names the contenders; a second pass counts only those. That is the answer if the k-th count is
+    larger than what a value may have that lossy counting doesn't hold, or if the contenders are all rows. Otherwise
+    the width was too small for so even a distribution: it is tried once more with buckets of `widest` rows, about
+    the most a task may hold in memory, and where that doesn't tell the k first apart either, all values are counted
+    in one partially aggregated groupBy, which spills. Rows with a null are left out; an empty table gives no rows.
     """
     keep = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).dropna()
-    while True:
-        intervals, missed = _intervals(rows, columns, width)
+    for w in sorted({width, max(width, widest)}):
+        intervals, missed = _intervals(rows, columns, w)
         some = cut(contenders(cut(intervals), k))
-        exact = keep.join(some.select(*columns), columns, "left_semi").groupBy(*columns).agg(F.count("*").alias("n"))
-        top = cut(exact.orderBy(F.desc("n"), *columns).limit(k))
+        top = _top(keep.join(some.select(*columns), columns, "left_semi").groupBy(*columns).agg(F.count("*").alias("n")), columns, k)
         least, found, covered = top.agg(F.min("n"), F.count("*"), F.sum("n")).head()
         if not missed or (found == k and least > missed) or covered == keep.count():
             return top
-        width *= 10
+    return _top(keep.groupBy(*columns).agg(F.count("*").alias("n")), columns, k)

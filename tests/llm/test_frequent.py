@@ -69,3 +69,15 @@ def test_nothing_is_lost_where_partitions_end_with_a_bucket(spark, hot):
 def test_few_values_need_no_second_pass(spark):
     df = spark.createDataFrame([("a", "m")] * 150 + [("b", "m")] * 50, "o string, m string").coalesce(1)
     assert sorted(tuple(r) for r in most_frequent(df, ["o", "m"], 7, width=50).collect()) == [("a", "m", 150), ("b", "m", 50)]
+
+
+def test_even_values_are_counted_exactly(spark):
+    rows = [("one", "m")] * 3 + [(f"v{i:04}", "m") for i in range(4997)]
+    df = spark.createDataFrame(rows, "o string, m string").coalesce(1)
+    got = most_frequent(df, ["o", "m"], 3, width=10, widest=100)  # neither width can tell them apart
+    assert sorted((-r["n"], r["o"]) for r in got.collect()) == [(-3, "one"), (-1, "v0000"), (-1, "v0001")]
+
+
+def test_buckets_that_fill_a_partition(spark):
+    df = spark.createDataFrame([("hot", "m")] * 100 + [(f"v{i}", "m") for i in range(50) for _ in "ab"], "o string, m string").coalesce(1)
+    assert most_frequent(df, ["o", "m"], 5, width=100).count() == 5
