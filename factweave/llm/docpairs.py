@@ -242,7 +242,7 @@ def kotlin() -> dict[str, Parse]:
     gap = many(comments)
     ident = r"(?:[^\W\d][\w$]*+|`[^`\n]++`)"
     annotation = seq(tok(rf"@(?:(?:file|field|get|set|param|property|receiver|delegate|setparam):)?(?:{ident}(?:\.{ident})*+)?"), opt(alt(parens, square)))
-    modifier = tok(r"(?:(?:public|private|protected|internal|override|suspend|inline|operator|open|sealed|data|abstract|final|const|lateinit|infix|tailrec|external|inner|enum|annotation|companion|value|expect|actual|noinline|crossinline)\b\s*+(?![(:=.]))++", "head")
+    modifier = tok(r"(?:(?:public|private|protected|internal|override|suspend|inline|operator|open|sealed|data|abstract|final|const|lateinit|infix|tailrec|external|inner|annotation|companion|value|expect|actual|noinline|crossinline)\b\s*+(?![(:=.]))++", "head")
     doc = rule(lambda t, at: (r := comment(t, at)) and doc_start(t.s, at) and t.s.endswith("*/", at, r[0]) and (r[0], (("doc", at, r[0]),)) or None)
     doc_start = re.compile(r"/\*\*(?!/)").match
     prefix = many(alt(plain_gap, modifier, doc, seq(_HEAD, annotation), comment))
@@ -255,14 +255,9 @@ def kotlin() -> dict[str, Parse]:
     supers = opt(seq(gap, tok(":"), gap, one_super, many(seq(gap, tok(","), gap, one_super))))
     primary = opt(seq(many(alt(comments, annotation, modifier, tok(r"constructor\b"))), parens))
     body = seq(many(later(lambda: member)), gap, opt(tok(r"\}")))
-    entries = opt(seq(many(seq(many(alt(doc, comments, annotation)), without(modifier), without(tok(r"(?:fun|val|var|class|interface|object|init|constructor)\b")), tok(ident), gap, opt(parens), gap, opt(block), gap, opt(tok(",")))), gap, opt(tok(";"))))
-    enum_before = re.compile(r"\benum\s+$")
-
-    def kind(t: Text, at: int):
-        return (at, ()) if enum_before.search(t.s, max(0, at - 40), at) else None
-
+    entries = opt(seq(many(seq(many(alt(doc, comments, annotation)), without(modifier), without(tok(r"(?:fun|val|var|class|interface|object|init|constructor|enum\s++class)\b")), tok(ident), gap, opt(parens), gap, opt(block), gap, opt(tok(",")))), gap, opt(tok(";"))))
     head = seq(opt(seq(gap, tok(ident))), opt(seq(gap, angles)), primary, supers, where)
-    enum = seq(kind, tok(r"class\b"), head, gap, tok(r"\{"), silent(entries), body)
+    enum = seq(tok(r"enum\b"), many(alt(comments, annotation, modifier)), tok(r"class\b"), head, gap, tok(r"\{"), silent(entries), body)
     other_type = seq(tok(r"(?:fun\s++)?(?:class|interface|object)\b"), head, opt(seq(gap, tok(r"\{"), body)))
     documented = rule(seq(prefix, function), _function)
     undone = seq(prefix, without(tok(r"\}|\Z")), alt(enum, other_type, seq(line, opt(tok(r"[\n;)\]]")))))
@@ -280,6 +275,9 @@ def grammar(language: str) -> dict[str, Parse]:
     return _GRAMMARS[language]
 
 
+_unspoken = re.compile(rf'"""(?s:.*?)"""|{_STRING}|{_CHAR}|{_LINE}|{_COMMENT}').sub
+
+
 def language_of(path: str | None, language: str | None, text: str) -> str:
     """By the path's ending, else what the text looks like: a Kotlin file has `fun name(` or no `;` at line ends."""
     for part in reversed((path or "").lower().split(".")[1:]):
@@ -287,7 +285,8 @@ def language_of(path: str | None, language: str | None, text: str) -> str:
             return "KOTLIN"
         if part == "java":
             return "JAVA"
-    if re.search(r"^[ \t]*(?:[\w@]+[ \t]+)*fun[ \t]+[\w<`]", text, re.M):
+    text = _unspoken(" ", text)
+    if re.search(r"(?:^|[\s)}])fun\s+[\w<`(]", text):
         return "KOTLIN"
     if re.search(r"[;{][ \t]*$", text, re.M) and re.search(r";[ \t]*$", text, re.M):
         return "JAVA"
@@ -316,29 +315,37 @@ def _lines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+def _parsed(parse: Parse, text: str, at: int):
+    """What the rule gives at a place. Every level of nesting takes a character at least, and some calls; calls between
+    Python functions need no stack but the heap's, so texts may be nested as deeply as they are long."""
+    deepest = 10_000 + 60 * len(text)
+    if sys.getrecursionlimit() < deepest:
+        sys.setrecursionlimit(deepest)
+    return parse(Text(text), at)
+
+
 def file_pairs(text: str, language: str) -> list[tuple[int, str, str, str]]:
-    """(line of the name, name, function's code, description) of every documented function of a file. Types may be
-    nested some thousand levels deep; a file with more gives nothing."""
-    s = _lines(text)
-    if sys.getrecursionlimit() < 100_000:
-        sys.setrecursionlimit(100_000)
-    try:
-        found = grammar(language)["file"](Text(s), 0)[1]
-    except RecursionError:
-        return []
-    out = []
-    for _, doc, (a, b), (c, d) in found:
+    """(line of the name, name, function's code, description) of every documented function of a file, however deeply
+    its types are nested."""
+    s, out, line, counted = _lines(text), [], 1, 0
+    for _, doc, (a, b), (c, d) in sorted(_parsed(grammar(language)["file"], s, 0)[1], key=lambda found: found[2]):
         if doc:
             name, said = s[a:b].strip("`"), description(s[doc[0] : doc[1]])
             if is_informative(said, name):
-                out.append((s.count("\n", 0, a) + 1, name, s[c:d], said))
+                line, counted = line + s.count("\n", counted, a), a
+                out.append((line, name, s[c:d], said))
     return out
 
 
 _BEFORE = re.compile(rf'"""(?s:(?:[^"\\]|\\.|"(?!""))*+)"""|{_STRING}|{_CHAR}|{_LINE}|{_COMMENT}')
 
 
-_cut_off = re.compile(r"/\*\*[ \t]*[^\s*](?:(?!\*/).)*+\n(?s:.*)^\s*\}\s*$", re.M).match
+def _holds_function(doc: str, language: str) -> bool:
+    """Whether the lines of a comment after its first are, by the grammar, one whole function without marks: then it is
+    a function put into a comment, whose own beginning stood before."""
+    code = doc.partition("\n")[2].removesuffix("*/")
+    found = _parsed(grammar(language)["function"], code, 0)
+    return bool(found) and not code[found[0] :].strip()
 
 
 def _is_comment_start(s: str, at: int) -> bool:
@@ -355,7 +362,7 @@ def method_pair(name: str, content: str, before: str | None) -> tuple[str, str,
 
     The lines may begin anywhere, in a comment or in another function, so the grammar's function rule is tried at
     each documentation comment, the nearest first, until one leads up to the method. A comment that opens the lines
-    with text and holds a line with just a closing brace is code put into a comment whose beginning was cut off."""
+    and holds a function is code put into a comment whose beginning was cut off."""
     code = _lines(content)
     s = _lines(before or "") + "\n" + code
     edge = len(s) - len(code)
@@ -363,10 +370,10 @@ def method_pair(name: str, content: str, before: str | None) -> tuple[str, str,
     parse, at, end = grammar(language)["function"], len(s), min(len(s), edge + len(code.split("\n", 1)[0]))
     at = end
     while (at := s.rfind("/**", 0, at)) >= 0:
-        if _is_comment_start(s, at) and (r := parse(Text(s), at)):
+        if _is_comment_start(s, at) and (r := _parsed(parse, s, at)):
             _, doc, (a, b), (c, d) = r[1][0]
             if doc and a >= edge and a <= end and s[a:b].strip("`") == name:
-                if not s[:at].strip() and _cut_off(s, at, doc[1]):
+                if not s[:at].strip() and _holds_function(s[doc[0] : doc[1]], language):
                     return None
                 said = description(s[doc[0] : doc[1]])
                 return (name, s[c:d], said) if is_informative(said, name) else None

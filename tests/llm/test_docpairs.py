@@ -146,11 +146,30 @@ def test_methods():
     assert method_pair("go", "    int go() { return 1; }", doc + "\n    int a;") is None
     assert method_pair("go", "    int go() { return 1; }", "    /** Quick brown fox.\n    void x() {\n    }\n    */") is None  # its /* was cut off
     assert method_pair("go", "    int go() { return 1; }", "    /**\n     Quick brown fox:\n     }\n    */") is not None
+    assert method_pair("go", "    int go() { return 1; }", "    /** Quick brown fox:\n     if (x) {\n     }\n    */") is not None  # no function
+    assert method_pair("go", "    /** Quick brown fox. */ override fun go(): Int = 1", "  }") is not None
     assert method_pair("go", "    fun go(): Int = 1", "  }\n" + doc) is not None
     assert method_pair("go", "    fun go(): Int", doc) is None
     assert method_pair("go", "    int go() { return 1; }", 'it\'s cut off\n  }\n""";\n' + doc) is not None
 
 
+def test_file_and_method_agree():
+    doc, code = "    /** Sends the payload:\n    if (x) {\n    }\n    */", "    void send() { }"
+    assert file_pairs(f"class A {{\n{doc}\n{code}\n}}", "JAVA")[0][1:] == method_pair("send", code, doc)
+
+
+@pytest.mark.parametrize("language,function", [("JAVA", "void go() { }"), ("KOTLIN", "fun go() { }")])
+def test_deep_nesting(language, function):
+    text = "class A {\n" * 20_000 + f"/** Quick brown fox. */ {function}\n" + "}" * 20_000
+    assert [x[:2] for x in file_pairs(text, language)] == [(20_001, "go")]
+
+
+def test_enum_far_from_class():
+    text = f"enum /* {'x' * 300} */ class E {{ A, B {{ fun z() {{}} }}; /** Quick brown fox. */ fun e() {{}} }}"
+    assert [x[1] for x in file_pairs(text, "KOTLIN")] == ["e"]
+    assert [x[1] for x in file_pairs("class A { enum class E { A; } /** Quick brown fox. */ fun e() {} }", "KOTLIN")] == ["e"]
+
+
 def test_tables(spark):
     sources = spark.createDataFrame([("a.Foo", "Foo.java", "JAVA", JAVA, 1), ("a.Foo", "Foo.java", "JAVA", JAVA, 1), (None, "x.kt", None, KOTLIN, 1), ("b.K", None, None, KOTLIN, 1), ("c", "c.kt", None, None, 1)], "fqn string, path string, language string, content string, function int")
     methods = spark.createDataFrame([("m.A", "go", 5, "int go() { return 1; }", None), ("m.A", "go", 5, "int go() { return 1; }", "/** Quick brown fox. */"), ("m.A", None, 6, None, None)], "class_fqn string, method_name string, start_line int, content string, context_before string")
