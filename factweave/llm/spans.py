@@ -1,12 +1,17 @@
 """Long stretches that stand verbatim in more than one document.
 
 Of every stretch of `least` characters the window (a shorter run of characters) with the smallest hash is chosen, so
-equal stretches choose equal windows, and about one window in fifty is looked at. Count-min sketches of the chosen
-windows, one per partition, are merged; they overestimate, so a window estimated in one document is in one document
-only and is left out. A second pass takes the windows estimated repeated, with the characters around them, and
-groups them exactly: a stretch of `least` characters around a window is shared if the same stretch stands around an
-equal window of another document. No two documents are ever paired: equal surroundings are one row, and a row takes
-from all others of its window only how far a shared stretch reaches to the left and to the right.
+equal stretches choose equal windows, and about one window in fifty is looked at.
+
+* A count-min sketch of fixed size, one per partition and merged, overestimates how many texts hold a window. A window
+  estimated in one text is in one text only and goes no further; a text without any other goes no further either.
+* What is left is grouped by the window's hash alone, without text: only windows of two documents go on. However full
+  the sketch may be, this is all that more windows cost.
+* Those windows are cut out of their texts with the characters around them and grouped exactly, by text: a stretch of
+  `least` characters around a window is shared if the same stretch stands around an equal window of another document.
+
+No two documents are ever paired: equal surroundings are one row, and a row takes from all others of its window only
+how far a shared stretch reaches to the left and to the right.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,29 +137,37 @@ def sketch(docs: DataFrame, least: int, size: int, bits: int) -> list[np.ndarray
     """For each row of the merged count-min sketch, packed bits: which cells have a count of two or more. A window
     counts once per text. The result has 2**bits bits a row, however large the documents are."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_counts(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for row in (0, 1):
+            cells, n = np.unique(np.concatenate(held[row]), return_counts=True)
+            n = np.minimum(n, 255).astype(np.uint8)
+            starts = np.flatnonzero(np.diff(cells // _CELLS, prepend=-1))
+            parts = list(zip(starts, np.append(starts[1:], len(cells)), strict=True))
+            for k in range(0, len(parts), 64):
+                some = parts[k : k + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(row << 32 | cells[a] // _CELLS) for a, _ in some], pa.int64()),
+                        pa.array([(cells[a:b] % _CELLS).astype(np.uint16).tobytes() for a, b in some], pa.binary()),
+                        pa.array([n[a:b].tobytes() for a, b in some], pa.binary()),
+                    ],
+                    names=["block", "cells", "n"],
+                )
+
+    def count(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
+        windows = 0
         for _, texts in _groups(batches, 1, least):
             c = Chosen(texts, least, size)
             once = np.unique(np.stack([c.text.astype(_U), c.value]), axis=1)[1] if len(c.at) else c.value
             for row, cells in enumerate(_cells(once, bits)):
                 held[row].append(cells)
-        for row in (0, 1):
-            if held[row]:
-                cells, n = np.unique(np.concatenate(held[row]), return_counts=True)
-                n = np.minimum(n, 255).astype(np.uint8)
-                starts = np.flatnonzero(np.diff(cells // _CELLS, prepend=-1))
-                parts = list(zip(starts, np.append(starts[1:], len(cells)), strict=True))
-                for k in range(0, len(parts), 64):
-                    some = parts[k : k + 64]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(row << 32 | cells[a] // _CELLS) for a, _ in some], pa.int64()),
-                            pa.array([(cells[a:b] % _CELLS).astype(np.uint16).tobytes() for a, b in some], pa.binary()),
-                            pa.array([n[a:b].tobytes() for a, b in some], pa.binary()),
-                        ],
-                        names=["block", "cells", "n"],
-                    )
+            windows += len(once)
+            if windows >= most:  # a partition's sketch may come in parts
+                yield from packed_counts(held)
+                held, windows = [[], []], 0
+        if windows:
+            yield from packed_counts(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, np.zeros(_CELLS, np.int64)
@@ -204,28 +218,114 @@ def _stretches(batch: pa.RecordBatch, least: int, size: int) -> tuple[np.ndarray
     return row, offset, hashes.of(start, start + least)
 
 
-def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, group_rows: int = 20_000, slice_rows: int = 200_000) -> DataFrame:
+def _shared_offsets(rows: pa.RecordBatch, row: np.ndarray, offset: np.ndarray, group: np.ndarray) -> dict[str, np.ndarray]:
+    """Of stretches (row, offset) in groups of equal ones: for each row that shares any with another document the least
+    and the largest offset it shares, and the groups of these two."""
+    names = pa.chunked_array([rows.column(x).dictionary_encode().dictionary for x in "ab"]).unique()
+    a, b = (pc.index_in(rows.column(x), value_set=names).to_numpy() for x in "ab")
+    n = int(group.max(initial=-1)) + 1
+    least_id, most_id = np.full(n, len(names)), np.full(n, -1)
+    np.minimum.at(least_id, group, np.minimum(a, b)[row])
+    np.maximum.at(most_id, group, np.maximum(a, b)[row])
+    hit = np.flatnonzero((least_id < most_id)[group])
+    hit = hit[np.lexsort((offset[hit], row[hit]))]
+    first = np.flatnonzero(np.diff(row[hit], prepend=-1))
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
+    return {"row": row[hit[first]], "low": offset[hit[first]], "high": offset[hit[last]], "groups": np.unique(np.concatenate([group[hit[first]], group[hit[last]]]))}
+
+
+def _same_texts(rows: pa.RecordBatch, row: np.ndarray, offset: np.ndarray, group: np.ndarray, found: dict[str, np.ndarray], least: int) -> bool:
+    """Whether the stretches of each group that decides an outcome are really equal, character by character."""
+    codes = [_codes(t) for t in rows.column("around").to_pylist()]
+    bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+    text = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+    inside = np.zeros(int(group.max(initial=-1)) + 1, bool)
+    inside[found["groups"]] = True
+    at = np.flatnonzero(inside[group])
+    start = bounds[row[at]] + rows.column("left").to_numpy()[row[at]] - offset[at]
+    model = np.zeros(len(inside), np.int64)
+    model[group[at]] = start  # any one of the group
+    for k in range(0, len(at), 20_000):
+        mine, other = start[k : k + 20_000, None] + np.arange(least), model[group[at[k : k + 20_000]], None] + np.arange(least)
+        if (text[mine] != text[other]).any():
+            return False
+    return True
+
+
+def _slices(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by keys, with a slice number: of counted(keys..., n) n is how many rows each key has. Keys with
+    more than `slice_rows` rows, and more than a ten thousandth of all, hence ten thousand keys at most, are parted into
+    slices by id; the other side has a row for each slice."""
+    limit = max(slice_rows, (counted.agg(F.sum("n")).head()[0] or 0) // 10_000)
+    slices = F.ceil(F.col("n") / limit).cast("int")
+    wide = counted.where(F.col("n") > limit).select(*keys, slices.alias("slices"))
+    left = rows.join(F.broadcast(wide), keys, "left").withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    return left, counted.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("n")
+
+
+def _sliced_join(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
+    left, right = _slices(rows, counted, keys, slice_rows)
+    return left.join(right, [*keys, "slice"])
+
+
+def _sliced_semi_join(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
+    left, right = _slices(rows, counted, keys, slice_rows)
+    return left.join(right, [*keys, "slice"], "left_semi").drop("slice")
+
+
+def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str = "doc_id", text_col: str = "text", bits: int = 26, group_rows: int = 20_000, slice_rows: int = 200_000) -> DataFrame:
     """(id, text_key, start, length): the maximal stretches of each text in which every character lies in a run of
     `least` characters (code points, exactly as they are) that also stands in a text of another id.
 
     Texts that are null or shorter than `least`, and rows without an id, have none. Rows with one id are one
     document; `text_key`, a hash of the text, tells its different texts apart, and repeated rows count once.
-    `size` is the window's length. The sketch has 2**bits cells a row, by default four for each chosen window, at
-    most 2**26; with more windows than that it filters less, and still loses none.
+    `size` is the window's length. The sketch has 2**bits cells a row: 8 MB as bits, whatever there is to read. A fuller
+    sketch lets more windows through to the grouping by hash, and loses none.
+
+    `group_rows`: windows with more different surroundings than a batch should hold have their stretches grouped one by
+    one over all tasks. `slice_rows`: windows, or surroundings, with more rows than that, and more than a ten
+    thousandth of all, are joined in slices. Neither changes the result.
     """
     spark = docs.sparkSession
     reach = least - size
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    if bits is None:
-        chars = plain.agg(F.sum(F.length("text"))).head()[0] or 0
-        bits = int(np.clip(np.ceil(np.log2(max(1, 8 * chars / (reach + 2)))), 16, 26))
     id_type = dict(plain.dtypes)["id"]
     shared = spark.sparkContext.broadcast(sketch(plain, least, size, bits))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with windows estimated repeated, and the hashes of these, 8 bytes each."""
         for batch, texts in _groups(batches, 1, least):
             c = Chosen(texts, least, size)
-            keep = np.flatnonzero(_repeated(shared.value, c.value, bits))
+            keep = _repeated(shared.value, c.value, bits)
+            text, value = c.text[keep], c.value[keep]
+            rows, starts = np.unique(text, return_index=True)
+            packed = [np.unique(x).tobytes() for x in np.split(value, starts[1:])] if len(rows) else []
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(packed, pa.binary())], names=["id", "text", "text_key", "windows"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            if windows:
+                row = pa.array(np.repeat(np.arange(len(windows)), [len(x) for x in windows]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(windows)), batch.column(0).take(row), batch.column(1).take(row)], names=["w", "id", "text_key"])
+
+    keyed = plain.select("id", "text", F.xxhash64("text").alias("text_key"))
+    marked = cut(keyed.mapInArrow(mark, f"id {id_type}, text string, text_key bigint, windows binary"))
+    lean = marked.select("id", "text_key", "windows").mapInArrow(unpack, f"w bigint, id {id_type}, text_key bigint")
+    twice = cut(lean.groupBy("w").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a <> b").select("w", "n"))
+    hits = _sliced_semi_join(lean, twice, ["w"], slice_rows)
+    # a text comes once, whatever its copies, with its own windows: as many as its length allows
+    both = marked.select("id", "text_key", "text", F.lit(None).cast("bigint").alias("w")).unionByName(hits.select("id", "text_key", F.lit(None).cast("string").alias("text"), "w"))
+    whole_texts = both.groupBy("id", "text_key").agg(F.first("text", True).alias("text"), F.collect_set("w").alias("ws")).where("size(ws) > 0")
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _groups(batches, 2, least):
+            c = Chosen(texts, least, size)
+            wanted = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            # a window of a text is wanted if (text, hash) is among the pairs asked for
+            pair = lambda t, v: _scatter(v.view(_U) ^ (t.astype(_U) * _U(_MIX[1])))
+            keep = np.flatnonzero(np.isin(pair(c.text, c.value), pair(owner, wanted.flatten().to_numpy())))
             at, text, begin, end = c.at[keep], c.text[keep], c.begin[keep], c.end[keep]
             left, right = np.minimum(at - begin, reach), np.minimum(end - at - size, reach)
             around = c.hashes.of(at - left, at + size + right) ^ _scatter((left * 4096 + right).astype(_U))
@@ -235,20 +335,19 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
                 cutout = [texts[t][x:y] for t, x, y in zip(text[k].tolist(), low.tolist(), high.tolist(), strict=True)]
                 ids = batch.take(pa.array(text[k]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.value[keep[k]].view(np.int64)), pa.array(around[k].view(np.int64)), ids.column(0), ids.column(2), pa.array(at[k] - begin[k]), pa.array(left[k].astype(np.int32)), pa.array(right[k].astype(np.int32)), pa.array(cutout, pa.string())],
+                    [pa.array(c.value[keep[k]].view(np.int64)), pa.array(around[k].view(np.int64)), ids.column(0), ids.column(1), pa.array(at[k] - begin[k]), pa.array(left[k].astype(np.int32)), pa.array(right[k].astype(np.int32)), pa.array(cutout, pa.string())],
                     names=["w", "c", "id", "text_key", "at", "left", "right", "around"],
                 )
 
-    keyed = plain.select("id", "text", F.xxhash64("text").alias("text_key"))
-    found = cut(keyed.mapInArrow(candidates, f"w bigint, c bigint, id {id_type}, text_key bigint, at bigint, left int, right int, around string"))
+    cutouts = whole_texts.mapInArrow(surroundings, f"w bigint, c bigint, id {id_type}, text_key bigint, at bigint, left int, right int, around string")
+    found = cut(cutouts.withColumn("d", F.xxhash64("around")))
 
-    # one row for each window with its surroundings, and which windows are in two documents
-    same = cut(found.groupBy("w", "c").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right")))
+    # one row for each window with its surroundings, told apart by their text, and which windows are in two documents
+    group = ["w", "c", "d"]  # names a group of equal surroundings by 192 bits of three hashes
+    same = cut(found.groupBy(*group, "left", "around").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.max("right").alias("right")))
     windows = same.groupBy("w").agg(F.min("a").alias("wa"), F.max("b").alias("wb"), F.count("*").alias("rows"), F.count_if(F.expr("a = b")).alias("open"))
-    windows = windows.where("wa <> wb and open > 0").select("w", "rows")
-    unsure = same.join(windows, "w")  # windows of two documents with surroundings that only one document has
-    texts = found.select("w", "c", "around").join(unsure.select("w", "c").distinct(), ["w", "c"], "left_semi").groupBy("w", "c").agg(F.first("around").alias("around"))
-    unsure = cut(unsure.join(texts, ["w", "c"]).select("w", "c", "a", "b", "left", "around", "rows"))
+    # windows of two documents with surroundings that only one document has
+    unsure = cut(windows.where("wa <> wb and open > 0").select("w", "rows"))
 
     def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by window; about group_rows at a time, never parting those of one window."""
@@ -258,22 +357,16 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
             row, offset, value = _stretches(rows, least, size)
             w = rows.column("w").to_numpy().view(_U)
             key = _scatter(value ^ (w[row] * _U(_MIX[1])) ^ offset.astype(_U))
-            (ids_a, ids_b) = (rows.column(x).dictionary_encode() for x in "ab")
-            names = pa.chunked_array([ids_a.dictionary, ids_b.dictionary]).unique()
-            a, b = (np.asarray(x) for x in (_index(rows.column("a"), names), _index(rows.column("b"), names)))
-            order = np.argsort(key, kind="stable")
-            key, ra, rb = key[order], a[row[order]], b[row[order]]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            low = np.full(rows.num_rows, least, np.int64)
-            high = np.full(rows.num_rows, -1, np.int64)
-            if len(start):
-                least_id = np.minimum(np.minimum.reduceat(ra, start), np.minimum.reduceat(rb, start))
-                most_id = np.maximum(np.maximum.reduceat(ra, start), np.maximum.reduceat(rb, start))
-                hit = order[np.repeat(least_id != most_id, np.diff(np.append(start, len(key))))]
-                np.minimum.at(low, row[hit], offset[hit])
-                np.maximum.at(high, row[hit], offset[hit])
-            out = np.flatnonzero(high >= 0)
-            return pa.RecordBatch.from_arrays([rows.column("w").take(pa.array(out)), rows.column("c").take(pa.array(out)), pa.array(low[out].astype(np.int32)), pa.array(high[out].astype(np.int32))], names=["w", "c", "low", "high"])
+            group = np.unique(key, return_inverse=True)[1]
+            found = _shared_offsets(rows, row, offset, group)
+            if not _same_texts(rows, row, offset, group, found, least):  # equal hashes of different texts
+                texts, left = rows.column("around").to_pylist(), rows.column("left").to_pylist()
+                names: dict = {}
+                group = np.array([names.setdefault((w[r], o, texts[r][left[r] - o : left[r] - o + least]), len(names)) for r, o in zip(row.tolist(), offset.tolist(), strict=True)], np.int64)
+                found = _shared_offsets(rows, row, offset, group)
+            out, low, high = (found[k] for k in ("row", "low", "high"))
+            take = pa.array(out)
+            return pa.RecordBatch.from_arrays([*(rows.column(x).take(take) for x in ("w", "c", "d")), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["w", "c", "d", "low", "high"])
 
         for batch in batches:
             held.append(batch)
@@ -285,32 +378,34 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
                     yield solve(rows.slice(0, edge))
                 held = [rows.slice(edge)]
         if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if sum(x.num_rows for x in held) else pa.RecordBatch.from_pylist([], pa.schema([("w", pa.int64()), ("c", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
+            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if sum(x.num_rows for x in held) else pa.RecordBatch.from_pylist([], pa.schema([(x, pa.int64()) for x in ("w", "c", "d")] + [(x, pa.int32()) for x in ("low", "high")]))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 some = batch.slice(k, 1000)
-                row, offset, value = _stretches(some, least, size)
+                row, offset, _ = _stretches(some, least, size)
+                texts, left = some.column("around").to_pylist(), some.column("left").to_pylist()
+                stretch = [texts[r][left[r] - o : left[r] - o + least] for r, o in zip(row.tolist(), offset.tolist(), strict=True)]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(some.column(x).take(take) for x in ("w", "c", "a", "b")), pa.array(offset.astype(np.int32)), pa.array(value.view(np.int64))], names=["w", "c", "a", "b", "o", "v"])
+                yield pa.RecordBatch.from_arrays([*(some.column(x).take(take) for x in ("w", "c", "d", "a", "b")), pa.array(offset.astype(np.int32)), pa.array(stretch, pa.string())], names=["w", "c", "d", "a", "b", "o", "stretch"])
 
-    schema = "w bigint, c bigint, low int, high int"
-    usual = unsure.where(F.col("rows") <= group_rows).drop("rows")
+    schema = "w bigint, c bigint, d bigint, low int, high int"
+    columns = [*group, "a", "b", "left", "around"]
+    usual = same.join(unsure.where(F.col("rows") <= group_rows), "w", "left_semi").select(*columns)
     partly = usual.repartition("w").sortWithinPartitions("w").mapInArrow(reaches, schema)
     # a window with very many different surroundings: its stretches are grouped one by one, over all tasks
-    crowded = unsure.where(F.col("rows") > group_rows).mapInArrow(explode, f"w bigint, c bigint, a {id_type}, b {id_type}, o int, v bigint")
-    twice = crowded.groupBy("w", "o", "v").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("w", "o", "v")
-    spread = crowded.join(twice, ["w", "o", "v"], "left_semi").groupBy("w", "c").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+    crowded = same.join(unsure.where(F.col("rows") > group_rows), "w", "left_semi").select(*columns)
+    crowded = crowded.mapInArrow(explode, f"w bigint, c bigint, d bigint, a {id_type}, b {id_type}, o int, stretch string")
+    common = crowded.groupBy("w", "o", "stretch").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("w", "o", "stretch")
+    spread = crowded.join(common, ["w", "o", "stretch"], "left_semi").groupBy(*group).agg(F.min("o").alias("low"), F.max("o").alias("high"))
     # surroundings that two documents have are shared as a whole
-    whole = same.where("a <> b").select("w", "c", F.greatest(F.lit(0), F.lit(reach) - F.col("right")).alias("low"), F.least("left", F.lit(reach)).alias("high"))
-    result = cut(whole.unionByName(partly).unionByName(spread).groupBy("w", "c").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <= high"))
-
-    # at most rows / slice_rows surroundings are that frequent
-    wide = same.where(F.col("n") > slice_rows).select("w", "c", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
-    occurring = found.select("w", "c", "id", "text_key", "at").join(F.broadcast(wide), ["w", "c"], "left").withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-    sliced = result.join(F.broadcast(wide), ["w", "c"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
-    spans = occurring.join(sliced, ["w", "c", "slice"]).select("id", "text_key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + least).alias("end")).distinct()
+    whole = same.where("a <> b").select(*group, F.greatest(F.lit(0), F.lit(reach) - F.col("right")).alias("low"), F.least("left", F.lit(reach)).alias("high"))
+    result = whole.unionByName(partly).unionByName(spread).groupBy(*group).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <= high")
+    result = cut(result.join(same.select(*group, "n"), group))
+
+    occurring = found.select(*group, "id", "text_key", "at")
+    spans = _sliced_join(occurring, result, group, slice_rows).select("id", "text_key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + least).alias("end")).distinct()
     earlier = "partition by id, text_key order by start, end rows between unbounded preceding and"
     joined = spans.withColumn("reached", F.expr(f"max(end) over ({earlier} 1 preceding)"))
     joined = joined.withColumn("piece", F.expr(f"sum(int(reached is null or start > reached)) over ({earlier} current row)"))
@@ -318,12 +413,6 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
     return pieces.select(F.col("id").alias(id_col), "text_key", "start", (F.col("end") - F.col("start")).alias("length"))
 
 
-def _index(column: pa.Array, names: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
-    return pc.index_in(column, value_set=names)
-
-
 def shared_chars(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id, shared_chars): how many characters of each document also stand in another one; documents without any
     have no row."""

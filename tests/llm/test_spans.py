@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from factweave.llm.spans import shared_chars, shared_spans
+from factweave.llm.spans import _same_texts, _shared_offsets, shared_chars, shared_spans
 
 
 def brute(docs, least):
@@ -26,7 +28,7 @@ def brute(docs, least):
     return out
 
 
-@pytest.mark.parametrize("alphabet,group_rows,bits", [("a", 1000, None), ("ab", 10, None), ("abcdefgh é🎉", 3, 16), ("abcdefgh é🎉", 1000, None)])
+@pytest.mark.parametrize("alphabet,group_rows,bits", [("a", 1000, 26), ("ab", 10, 26), ("abcdefgh é🎉", 3, 16), ("abcdefgh é🎉", 1000, 26)])
 def test_as_brute_force(spark, alphabet, group_rows, bits):
     r = random.Random(len(alphabet) + group_rows)
     base = ["".join(r.choice(alphabet) for _ in range(80)) for _ in range(8)]
@@ -51,3 +53,12 @@ def test_long_text(spark):
     t = "".join(random.Random(3).choices("abcdefghij", k=300_000))
     df = spark.createDataFrame([(1, t), (2, "-" + t[1000:250_000])], "doc_id long, text string")
     assert {a: b for a, b in shared_chars(df).collect()} == {1: 249_000, 2: 249_000}
+
+
+def test_equal_hashes_of_different_texts_are_seen():
+    rows = pa.RecordBatch.from_pydict({"around": ["abcdef", "abcxef", "zabcde"], "left": [1, 1, 2], "a": [1, 2, 3], "b": [1, 2, 3]})
+    row, offset = np.array([0, 1, 2]), np.array([1, 1, 1])
+    for group, true in ((np.array([0, 1, 0]), True), (np.array([0, 0, 1]), False)):  # abc, abc, abc; the second differs at its fourth character
+        found = _shared_offsets(rows, row, offset, group)
+        assert found["row"].tolist() == sorted(np.flatnonzero(group == 0)) and found["low"].tolist() == found["high"].tolist() == [1, 1]
+        assert _same_texts(rows, row, offset, group, found, 4) == true
