@@ -75,6 +75,13 @@ def percent_encoded(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def timeout_minutes(c: Column) -> Column:
+    """The minutes of a timeout's text: `30m`, `1h` or a plain number of minutes; anything else is 30."""
+    rx = r"^\s*(\d{1,7})\s*([mMhH]?)\s*$"
+    hours = F.lower(F.regexp_extract(c, rx, 2)) == "h"
+    return F.when(c.rlike(rx), F.regexp_extract(c, rx, 1).try_cast("int") * F.when(hours, 60).otherwise(1)).otherwise(30)
+
+
 def duration_text(seconds: Column) -> Column:
     """`2h 3m 4s`, `3m 4s` or `4s`."""
     s = seconds.cast("bigint")

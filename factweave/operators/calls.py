@@ -1,62 +1,41 @@
-"""Call sites from ordered instruction events, and filters on calls."""
+"""Calls in methods: what they are given, and filters on the methods they stand in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import returns_match
 from ..sources.facts import Facts
+from .usages import sites_with
 
 #: Fixed value: how many constants before a call are kept at most.
 WINDOW = 16
 
 
-def instruction_events(facts: Facts) -> DataFrame:
-    """(owner_fqn, method_name, insn, event, line, const_kind, const_value, call_id): the calls of each method as
-    instructions in order: line marker, constants, call. A call site's place is (call_idx, call_id)."""
-    c = facts.calls.where("caller_method is not null")
-    event = lambda place, kind, line, k, v: F.struct(F.lit(place).alias("place") if isinstance(place, int) else place.alias("place"), F.lit(kind).alias("event") if isinstance(kind, str) else kind.alias("event"), line.alias("line"), k.alias("const_kind"), v.alias("const_value"))
-    nothing, no_line = F.lit(None).cast("string"), F.lit(None).cast("int")
-    consts = F.transform(F.coalesce("constant_args", F.expr("cast(array() as array<struct<kind:string,value:string>>)")), lambda a, i: event(i + 1, "LDC", no_line, a["kind"], a["value"]))
-    kind = F.when(F.col("invoke_dynamic"), "INDY").when(F.col("owner_type").isNull() | F.col("method_name").isNull(), "RESET").otherwise("CALL")
-    events = F.concat(F.array(event(0, "LINE", F.col("line_number"), nothing, nothing)), consts, F.array(event(1_000_000, kind, no_line, nothing, nothing)))
-    exploded = c.select(F.col("caller_fqn").alias("owner_fqn"), F.col("caller_method").alias("method_name"), "call_idx", "call_id", F.explode(events).alias("e"))
-    return exploded.select("owner_fqn", "method_name", F.struct("call_idx", "call_id", "e.place").alias("insn"), "call_id", "e.event", "e.line", "e.const_kind", "e.const_value")
+def call_windows(calls: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(caller_fqn, caller_method, call_idx, call_id, line_number, constants): each call with the constants it is given,
+    the last `window` of them, as `KIND:value`. A dynamic call has none; a call without an owner or a name has no row."""
+    c = calls.where("caller_method is not null and (invoke_dynamic or (owner_type is not null and method_name is not null))")
+    given = F.coalesce("constant_args", F.expr("cast(array() as array<struct<kind:string,value:string>>)"))
+    last = F.slice(given, F.greatest(F.size(given) - window + 1, F.lit(1)), window)
+    texts = F.transform(last, lambda a: F.concat_ws(":", a["kind"], F.coalesce(a["value"], F.lit(""))))
+    return c.select("caller_fqn", "caller_method", "call_idx", "call_id", "line_number", F.when(F.col("invoke_dynamic"), F.array().cast("array<string>")).otherwise(texts).alias("constants"))
 
 
-def call_windows(events: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(owner_fqn, method_name, call_id, line, constants): for every call the constants loaded since the call before,
-    the last `window` of them, and the last line marker. A dynamic call takes none and leaves them for the next call;
-    a call without a name takes them away and gives no row. Constants read `KIND:value`."""
-    order = Window.partitionBy("owner_fqn", "method_name").orderBy("insn")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    e = events.withColumn("group", F.coalesce(F.count_if(F.col("event").isin("CALL", "RESET")).over(before), F.lit(0)))
-    e = e.withColumn("at_line", F.last("line", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.when(F.col("event") == "LDC", F.concat_ws(":", "const_kind", F.coalesce("const_value", F.lit(""))))
-    loaded = F.collect_list(text).over(Window.partitionBy("owner_fqn", "method_name", "group").orderBy("insn").rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("loaded", F.when(F.col("event").isin("CALL", "INDY"), loaded))
-    taken = F.when(F.col("event") == "INDY", F.array().cast("array<string>")).otherwise(F.slice("loaded", F.greatest(F.size("loaded") - window + 1, F.lit(1)), window))
-    return e.where(F.col("event").isin("CALL", "INDY")).select("owner_fqn", "method_name", "call_id", F.col("at_line").alias("line"), taken.alias("constants"))
-
-
-def calls_in(facts: Facts, *, in_class: str | None = None, method: str | None = None, descriptor: str | None = None, in_methods_returning: str | None = None, in_methods_annotated: str | None = None) -> DataFrame:
-    """The call sites of a class, method or overload, or of all; only those in methods with the return type or the
-    annotation asked for. A descriptor needs a method."""
-    if descriptor and not method:
-        raise ValueError("a descriptor needs a method")
+def calls_in(facts: Facts, *, in_class: str | None = None, method: str | None = None, in_methods_returning: str | None = None, in_methods_annotated: str | None = None) -> DataFrame:
+    """The call sites of a class or method, or of all; only those in methods with the return type or the annotation asked
+    for. Overloads can't be told apart: the table names no descriptor of the calling method."""
     c = facts.calls
     if in_class:
         c = c.where(F.col("caller_fqn") == in_class)
     if method:
         c = c.where(F.col("caller_method") == method)
-    if descriptor:
-        c = c.where(F.col("descriptor") == descriptor)
     if in_methods_returning:
         m = facts.members.where(F.col("kind") == "METHOD").where(returns_match(F.col("type_text"), in_methods_returning))
         c = c.join(m.select(F.col("owner_fqn").alias("caller_fqn"), F.col("name").alias("caller_method")), ["caller_fqn", "caller_method"], "left_semi")
     if in_methods_annotated:
-        a = facts.sites.where((F.col("target") == "METHOD") & (F.col("ann_type") == in_methods_annotated))
+        a = sites_with(facts, in_methods_annotated, ("METHOD",))
         c = c.join(a.select(F.col("owner_fqn").alias("caller_fqn"), F.col("member").alias("caller_method")), ["caller_fqn", "caller_method"], "left_semi")
     return c
 
@@ -64,3 +43,16 @@ def calls_in(facts: Facts, *, in_class: str | None = None, method: str | None =
 def calls_per_method(calls: DataFrame) -> DataFrame:
     """(caller_fqn, caller_method, calls): calls of each method that has any."""
     return calls.groupBy("caller_fqn", "caller_method").agg(F.count("*").alias("calls"))
+
+
+def methods_with_calls(facts: Facts, in_class: str | None = None, method: str | None = None) -> DataFrame:
+    """(owner_fqn, name, calls): the methods of a class, or of all, that have calls; with a method's name all methods of
+    that name, those without calls too."""
+    counted = calls_per_method(calls_in(facts, in_class=in_class, method=method).where("caller_method is not null"))
+    counted = counted.select(F.col("caller_fqn").alias("owner_fqn"), F.col("caller_method").alias("name"), "calls")
+    if not method:
+        return counted
+    known = facts.methods.where(F.col("name") == method).select("owner_fqn", "name").distinct()
+    if in_class:
+        known = known.where(F.col("owner_fqn") == in_class)
+    return known.join(counted, ["owner_fqn", "name"], "full").fillna(0, ["calls"])

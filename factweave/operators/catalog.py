@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.names import glob, returns_match
 from ..sources.facts import Facts
+from .usages import sites_with
 
 _FLAGS = ("is_interface", "is_abstract", "is_enum", "is_annotation")
 
 
 def member_counts(facts: Facts) -> DataFrame:
-    """(fqn, method_count, field_count) of types that have any: different method and field names."""
-    names = facts.members.select("owner_fqn", "kind", "name").distinct()
+    """(fqn, method_count, field_count) of types that have any: the different names of methods and fields that facts name
+    (see `Facts.methods`), since no table lists members; overloads count once."""
+    fields = facts.members.where("kind = 'FIELD'").select("owner_fqn", F.lit("FIELD").alias("kind"), "name")
+    noted = facts.sites.where("target = 'FIELD' and field is not null").select("owner_fqn", F.lit("FIELD").alias("kind"), F.col("field").alias("name"))
+    names = facts.methods.select("owner_fqn", F.lit("METHOD").alias("kind"), "name").unionByName(fields).unionByName(noted).distinct()
     return names.groupBy(F.col("owner_fqn").alias("fqn")).agg(F.count_if(F.col("kind") == "METHOD").alias("method_count"), F.count_if(F.col("kind") == "FIELD").alias("field_count"))
 
 
 def select_types(facts: Facts, *, package: str | None = None, name: str | None = None, annotation: str | None = None, extends: str | None = None, implements: str | None = None, source: str | None = None, interfaces_only: bool = False, classes_only: bool = False, include_libraries: bool = False, strict: bool = True) -> DataFrame:
-    """The types that meet every filter given: globs on package and on simple or full name, a class annotation, the
-    direct superclass, a direct interface. Only project types unless a source is named or libraries are included."""
+    """The types that meet every filter given: globs on package and on simple or full name, a class annotation (itself or
+    as a meta-annotation), the direct superclass, a direct interface. Only project types unless a source is named or
+    libraries are included."""
     t = facts.types
     if source or not include_libraries:
         t = t.where(F.col("source") == (source or "PROJECT"))
@@ -36,7 +41,7 @@ def select_types(facts: Facts, *, package: str | None = None, name: str | None =
     if implements:
         t = t.where(F.array_contains("interfaces", implements))
     if annotation:
-        on = facts.sites.where((F.col("target") == "CLASS") & (F.col("ann_type") == annotation)).select(F.col("owner_fqn").alias("fqn"))
+        on = sites_with(facts, annotation, ("CLASS",)).select(F.col("owner_fqn").alias("fqn"))
         t = t.join(on, "fqn", "left_semi")
     return t
 
@@ -80,22 +85,22 @@ def statistics(facts: Facts) -> DataFrame:
 
 
 def search_methods(facts: Facts, *, name: str | None = None, return_type: str | None = None, annotation: str | None = None, in_class: str | None = None, in_package: str | None = None, include_libraries: bool = False, strict: bool = True) -> DataFrame:
-    """Methods of the types asked for, in total order; constructors never match, a return type matches if its base
-    contains the text, primitives and void never do."""
-    t = facts.types.where("not is_synthetic")
+    """Methods of the types asked for, in total order, '' where the return type isn't known; constructors and what
+    compilers add never match, a return type matches if its base contains the text, primitives and void never do."""
+    t = facts.types
     if not include_libraries:
         t = t.where("source = 'PROJECT'")
     if in_class:
         t = t.where(F.col("fqn") == in_class)
     if in_package:
         t = t.where(glob(F.col("package_name"), in_package, strict))
-    m = facts.members.where("kind = 'METHOD' and name <> '<init>'")
+    m = facts.methods
     if name:
         m = m.where(glob(F.col("name"), name, strict))
     if return_type:
         m = m.where(returns_match(F.col("type_text"), return_type))
     if annotation:
-        on = facts.sites.where((F.col("target") == "METHOD") & (F.col("ann_type") == annotation)).select("owner_fqn", F.col("member").alias("name"))
+        on = sites_with(facts, annotation, ("METHOD",)).select("owner_fqn", F.col("member").alias("name"))
         m = m.join(on, ["owner_fqn", "name"], "left_semi")
     found = m.join(t.select(F.col("fqn").alias("owner_fqn"), "source"), "owner_fqn")
-    return found.select(F.col("owner_fqn").alias("class_fqn"), "name", F.col("type_text").alias("return_type"), "source").orderBy("class_fqn", "name", "return_type")
+    return found.select(F.col("owner_fqn").alias("class_fqn"), "name", F.coalesce("type_text", F.lit("")).alias("return_type"), "source").orderBy("class_fqn", "name", "return_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import erased, plain_name
 from ..session import cut
 from ..sources.facts import DEPENDENCY_KINDS, ROOT_CLASS, Facts
 
@@ -16,21 +17,36 @@ def supertype_edges(facts: Facts, include_libraries: bool = False) -> DataFrame:
     return t.select(F.explode(ups).alias("super"), F.col("fqn").alias("sub")).where("super <> sub")
 
 
-def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+def _strides(edges: DataFrame, stride: int) -> DataFrame:
+    """(src, dst, hops): pairs joined by up to `stride` edges (a power of two), with the least number of them."""
+    ways = edges.withColumn("hops", F.lit(1))
+    while stride > 1:
+        second = ways.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("hops").alias("more"))
+        longer = ways.join(second, "dst").select("src", F.col("next").alias("dst"), (F.col("hops") + F.col("more")).alias("hops"))
+        ways = cut(ways.union(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+        stride //= 2
+    return ways
+
+
+def closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None, stride: int = 1) -> DataFrame:
     """(start, fqn, depth): every node that can be reached from each start(start) over edges(src, dst), with its
-    least depth; loops end because a node that was seen isn't visited again, and a start isn't its own result."""
-    edges = cut(edges.select("src", "dst").distinct())
+    least depth; loops end because a node that was seen isn't visited again, and a start isn't its own result.
+
+    Each round goes `stride` levels on (a power of two): for graphs in which few nodes can be reached by few edges, such
+    as the supertypes of types, where levels are many."""
+    ways = _strides(cut(edges.select("src", "dst").distinct()), stride)
     frontier = cut(start.select("start", F.col("start").alias("fqn")).distinct())
     seen = frontier.withColumn("depth", F.lit(0))
     depth = 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(edges, frontier.fqn == edges.src).select("start", F.col("dst").alias("fqn")).distinct()
-        frontier = cut(step.join(seen, ["start", "fqn"], "left_anti"))
+        step = frontier.select("start", "fqn").join(ways, frontier.fqn == ways.src).groupBy("start", F.col("dst").alias("fqn")).agg((F.min("hops") + depth).alias("depth"))
+        new = cut(step.join(seen, ["start", "fqn"], "left_anti").select("start", "fqn", "depth"))
+        depth += stride
+        seen = seen.union(new)
+        frontier = new.where(F.col("depth") == depth)
         if not frontier.head(1):
             break
-        seen = seen.union(frontier.withColumn("depth", F.lit(depth)))
-    return seen.where("depth > 0")
+    return seen.where("depth > 0" if max_depth is None else f"depth between 1 and {max_depth}")
 
 
 def implementations(facts: Facts, targets: DataFrame, include_libraries: bool = False) -> DataFrame:
@@ -38,7 +54,7 @@ def implementations(facts: Facts, targets: DataFrame, include_libraries: bool =
     that has a row; each type once per target, an unknown target gives nothing."""
     known = targets.join(facts.types.select(F.col("fqn").alias("target")), "target", "left_semi").select(F.col("target").alias("start"))
     edges = supertype_edges(facts, include_libraries).select(F.col("super").alias("src"), F.col("sub").alias("dst"))
-    found = closure(edges, known)
+    found = closure(edges, known, stride=8)
     return found.select(F.col("start").alias("target"), "fqn", F.when(F.col("depth") == 1, "DIRECT").otherwise("INDIRECT").alias("relation"), "depth")
 
 
@@ -50,7 +66,7 @@ def parent_chain(facts: Facts, targets: DataFrame) -> DataFrame:
     is_class = ~F.col("is_interface") & ~F.col("is_annotation")
     up = F.when(F.col("superclass").isNotNull(), F.col("superclass")).when(is_class & (F.col("fqn") != ROOT_CLASS), F.lit(ROOT_CLASS))
     edges = t.select(F.col("fqn").alias("src"), up.alias("dst")).where("dst is not null")
-    chain = closure(edges, targets.select(F.col("target").alias("start")))
+    chain = closure(edges, targets.select(F.col("target").alias("start")), stride=8)
     named = chain.join(t.select("fqn", "source"), "fqn", "left")
     source = F.when(F.col("fqn") == ROOT_CLASS, "JDK").otherwise(F.coalesce("source", F.lit("LIBRARY")))
     return named.select(F.col("start").alias("target"), "depth", "fqn", source.alias("source"))
@@ -89,6 +105,9 @@ def dependencies(facts: Facts, targets: DataFrame, include_libraries: bool = Fal
     are included."""
     e, t = facts.dep_edges, targets.select("target").distinct()
     out = e.join(t, e.src == t.target).select("target", F.lit("OUTGOING").alias("direction"), F.col("dst").alias("class_fqn"), "type", "location", "ord")
+    # as something depended on, the root class counts like any other
+    from_root = facts.types.where(F.col("superclass") == ROOT_CLASS).select(F.col("fqn").alias("src"), F.col("superclass").alias("dst"), F.lit("EXTENDS").alias("type"), F.lit(None).cast("string").alias("location"), F.lit(0).alias("ord"))
+    e = e.unionByName(from_root)
     into = e.join(t, e.dst == t.target).select("target", F.lit("INCOMING").alias("direction"), F.col("src").alias("class_fqn"), "type", "location", "ord")
     both = out.unionByName(into).join(facts.types.select(F.col("fqn").alias("class_fqn"), "source"), "class_fqn", "left").withColumn("source", F.coalesce("source", F.lit("LIBRARY")))
     if not include_libraries:
@@ -117,16 +136,33 @@ def graph_nodes(facts: Facts, edges: DataFrame | None = None) -> DataFrame:
 
 
 def foundation(facts: Facts, min_dependents: int = 2, edges: DataFrame | None = None) -> DataFrame:
-    """(fqn, dependent_count, dependents): project types that at least so many project types depend on, the most
-    depended on first. With 0 or less every project type counts."""
+    """(fqn, dependent_count): project types that at least so many project types depend on, the most depended on first.
+    With 0 or less every project type counts. Who they are is in `foundation_links`: a type may have very many."""
     edges = graph_edges(facts) if edges is None else edges
-    grouped = edges.groupBy(F.col("target").alias("fqn")).agg(F.count("*").alias("dependent_count"), F.array_sort(F.collect_set("source")).alias("dependents"))
+    grouped = edges.groupBy(F.col("target").alias("fqn")).agg(F.count("*").alias("dependent_count"))
     if min_dependents <= 0:
         nodes = facts.types.where("source = 'PROJECT'").select("fqn")
-        grouped = nodes.join(grouped, "fqn", "left").select("fqn", F.coalesce("dependent_count", F.lit(0)).alias("dependent_count"), F.coalesce("dependents", F.array().cast("array<string>")).alias("dependents"))
+        grouped = nodes.join(grouped, "fqn", "left").fillna(0, ["dependent_count"])
     return grouped.where(F.col("dependent_count") >= min_dependents).orderBy(F.desc("dependent_count"), "fqn")
 
 
+def foundation_links(facts: Facts, min_dependents: int = 2, edges: DataFrame | None = None) -> DataFrame:
+    """(fqn, dependent): the types of `foundation` with each project type that depends on them."""
+    edges = graph_edges(facts) if edges is None else edges
+    return edges.join(foundation(facts, min_dependents, edges).select(F.col("fqn").alias("target")), "target", "left_semi").select(F.col("target").alias("fqn"), F.col("source").alias("dependent"))
+
+
+def referenced_types(facts: Facts) -> DataFrame:
+    """(fqn, type_fqn): every type that a type names in any way, each once: supertypes, type arguments, recorded references,
+    annotations, owners of methods it calls; primitives and the type itself are left out."""
+    t = facts.types
+    ups = t.select("fqn", F.explode(F.concat(F.array("superclass"), "superclass_args", "interfaces", "interface_args")).alias("type_fqn"))
+    refs = facts.refs.select(F.col("from_fqn").alias("fqn"), erased(F.col("type_fqn")).alias("type_fqn"))
+    notes = facts.sites.select(F.col("owner_fqn").alias("fqn"), F.col("ann_type").alias("type_fqn"))
+    calls = facts.raw("call_sites").where("not invoke_dynamic").select(plain_name("caller_fqn").alias("fqn"), erased(plain_name("owner_type")).alias("type_fqn"))
+    return ups.union(refs).union(notes).union(calls).where("type_fqn <> '' and fqn <> type_fqn").distinct()
+
+
 def dot_escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
 

@@ -341,16 +341,34 @@ def _lengths(t: Tokens, arrays: np.ndarray) -> np.ma.MaskedArray:
     return np.ma.masked_array(size[np.maximum(arrays, 0)], ~is_array)
 
 
+def complete(texts: pa.Array) -> np.ndarray:
+    """Which texts are one whole JSON object, or a JSON string that holds one."""
+    t = tokenize(texts)
+    out = np.zeros(len(texts), bool)
+    if len(t.kind):
+        have = np.flatnonzero(t.root >= 0)
+        kinds = t.kind[t.root[have]]
+        out[have[kinds == OBJ]] = True
+        quoted = have[kinds == STR]
+        if len(quoted):
+            inner = tokenize(_texts(t, t.root[quoted]))
+            if len(inner.kind):
+                out[quoted] = (inner.root >= 0) & (inner.kind[np.maximum(inner.root, 0)] == OBJ)
+    return out
+
+
 def _one_text_per_site(sites: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Deliveries of one site are copies; a complete one wins over a broken one. Partial aggregation leaves one
     text of a site per task, so a site that is delivered ever so often doesn't weigh on one task."""
-    score = F.struct(F.expr(f"try_parse_json(`{json_col}`)").isNotNull(), F.xxhash64(json_col), F.length(json_col))
-    return (
-        sites.select(id_col, json_col)
-        .where(F.col(id_col).isNotNull() & F.col(json_col).isNotNull())
-        .groupBy(id_col)
-        .agg(F.max_by(json_col, score).alias(json_col))
-    )
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _by_bytes(batch):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(complete(piece.column(1)))], names=["id", "text", "whole"])
+
+    rows = sites.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{json_col}`").alias("text")).where("id is not null and text is not null")
+    rows = rows.mapInArrow(scored, f"id {dict(sites.dtypes)[id_col]}, text string, whole boolean")
+    return rows.groupBy("id").agg(F.max_by("text", F.struct("whole", F.xxhash64("text"), F.length("text"))).alias("text")).select(F.col("id").alias(id_col), F.col("text").alias(json_col))
 
 
 def flatten_values(sites: DataFrame, id_col: str = "site_id", json_col: str = "attrs", fields: bool = True) -> DataFrame:

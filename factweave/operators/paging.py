@@ -19,18 +19,30 @@ def total_pages(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
+#: Pages that end at or before this row come from a top-k, later ones from numbered range partitions: a top-k brings all
+#: rows up to the page's end to one task.
+EARLY_ROWS = 100_000
+
+
 def paginate(df: DataFrame, keys: list[Column], page: int = 0, size: int = 50) -> DataFrame:
-    """The rows of one page, counted from 0, in the order of the keys, with their place in `row_no` (from 1). A page
-    beyond the end is empty. Only the rows up to the page's end are sorted out (top-k), whatever the table holds."""
+    """The rows of one page, counted from 0, in the order of the keys (which has to be total), with their place in
+    `row_no` (from 1). A page beyond the end is empty; pages may lie anywhere, their places are bigints."""
     page, size = check_page(page, size)
     end = (page + 1) * size
-    if end >= 1 << 31:
-        return df.limit(0).withColumn("row_no", F.lit(None).cast("bigint"))
+    if end > EARLY_ROWS:
+        return number_rows(df, keys, "row_no").where(F.col("row_no").between(page * size + 1, end))
     top = df.orderBy(*keys).limit(end).offset(page * size)
     # at most `size` rows are left to number
     return top.withColumn("row_no", F.row_number().over(Window.orderBy(*keys)).cast("bigint") + page * size)
 
 
+def page_of(df: DataFrame, keys: list[Column], page: int = 0, size: int = 50) -> tuple[DataFrame, int, int]:
+    """The rows of a page, how many rows there are in all, and how many pages."""
+    rows = paginate(df, keys, page, size)
+    total = df.count()
+    return rows, total, total_pages(total, size)
+
+
 def number_rows(df: DataFrame, keys: list[Column], name: str, partitions: int | None = None) -> DataFrame:
     """All rows with their place from 1 in the order of the keys, which has to be total. Rows are numbered within range
     partitions; what the partitions before hold is added."""

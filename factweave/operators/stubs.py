@@ -18,19 +18,24 @@ def kotlin_type(c: Column) -> Column:
     return F.coalesce(F.element_at(names, c), c)
 
 
-def stub_lines(facts: Facts, language: str = "JAVA", visibility: str = "ALL", bodies: bool = True) -> DataFrame:
-    """(fqn, section, ordinal, text): package, annotations, declaration, fields, methods and end of each project type,
-    in the order of section and ordinal. Names with `$` and `serialVersionUID` are hidden; methods of interfaces, and
-    all without `bodies`, have none."""
+def stub_lines(facts: Facts, language: str = "JAVA", visibility: str = "ALL", bodies: bool = True, include_libraries: bool = False) -> DataFrame:
+    """(fqn, section, ordinal, text): package, annotations, declaration, fields, constructors, methods and end of each
+    project type, in the order of section and ordinal. Names with `$` and `serialVersionUID` are hidden; methods of
+    interfaces, and all without `bodies`, have none.
+
+    Parameters are those that references name, in the order of their ids, as `p0`, `p1` and so on: overloads fall
+    together, and primitive ones aren't known. Methods whose return type isn't known are `void`; of an `open` Kotlin
+    class they are `open`."""
     if language not in ("JAVA", "KOTLIN"):
         raise ValueError("language must be JAVA or KOTLIN")
     if visibility not in VISIBILITIES:
         raise ValueError(f"visibility must be one of {', '.join(VISIBILITIES)}")
     java = language == "JAVA"
-    t = facts.types.where("source = 'PROJECT'")
+    t = facts.types if include_libraries else facts.types.where("source = 'PROJECT'")
     if VISIBILITIES[visibility]:
         t = t.where(F.col("visibility").isin(*VISIBILITIES[visibility]))
-    shown = t.select("fqn", "is_interface")
+    is_open = ~F.col("is_final") & ~F.col("is_interface")
+    shown = t.select("fqn", "is_interface", is_open.alias("is_open"))
     end = F.lit(";" if java else "")
     row = lambda df, section, ordinal, text: df.select("fqn", F.lit(section).alias("section"), ordinal.alias("ordinal"), text.alias("text"))
     zero = F.lit("")
@@ -51,18 +56,27 @@ def stub_lines(facts: Facts, language: str = "JAVA", visibility: str = "ALL", bo
         both = F.concat(ups, faces)
         tail = F.when(F.size(both) > 0, F.concat(F.lit(" : "), F.array_join(both, ", "))).otherwise("")
     head = row(t, 2, zero, F.concat(access, abstract, kind, "simple_name", tail, F.lit(" {")))
-    m = facts.members.where("not contains(name, '$') and name <> 'serialVersionUID' and name <> '<init>'").withColumnRenamed("owner_fqn", "fqn").join(shown, "fqn")
+    fields_of = facts.members.where("kind = 'FIELD'").select("owner_fqn", "kind", "name", "type_text")
+    methods_of = facts.methods.select("owner_fqn", F.lit("METHOD").alias("kind"), "name", F.coalesce("type_text", F.lit("void")).alias("type_text"))
+    # a method's parameters are as many as its descriptor allows
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "type_fqn"))), lambda p, i: F.concat(short_type(p["type_fqn"]), F.lit(" p"), i) if java else F.concat(F.lit("p"), i, F.lit(": "), kotlin_type(short_type(p["type_fqn"]))))
+    params = facts.refs.where("kind = 'PARAM' and member is not null").groupBy(F.col("from_fqn").alias("fqn"), F.col("member").alias("name")).agg(F.array_join(kinds, ", ").alias("params"))
+    m = fields_of.unionByName(methods_of).where("not contains(name, '$') and name <> 'serialVersionUID' and name <> '<init>'").withColumnRenamed("owner_fqn", "fqn").join(shown, "fqn").join(params, ["fqn", "name"], "left").fillna("", ["params"])
+    built = params.where("name = '<init>'").join(t.select("fqn", "simple_name"), "fqn")
     kind_text = short_type(F.col("type_text"))
     if java:
         field = F.concat(F.lit("    "), kind_text, F.lit(" "), "name", F.lit(";"))
-        method = F.concat(F.lit("    "), kind_text, F.lit(" "), "name", F.lit("()"), F.when(F.col("is_interface") | F.lit(not bodies), ";").otherwise(" { /* ... */ }"))
+        maker = F.concat(F.lit("    "), "simple_name", F.lit("("), "params", F.lit(")"), F.lit(" { /* ... */ }" if bodies else ";"))
+        method = F.concat(F.lit("    "), kind_text, F.lit(" "), "name", F.lit("("), "params", F.lit(")"), F.when(F.col("is_interface") | F.lit(not bodies), ";").otherwise(" { /* ... */ }"))
     else:
         field = F.concat(F.lit("    val "), "name", F.lit(": "), kotlin_type(kind_text))
-        method = F.concat(F.lit("    fun "), "name", F.lit("(): "), kotlin_type(kind_text), F.when(F.col("is_interface") | F.lit(not bodies), "").otherwise(" = TODO()"))
+        maker = F.concat(F.lit("    constructor("), "params", F.lit(")"))
+        method = F.concat(F.lit("    "), F.when(F.col("is_open"), "open ").otherwise(""), F.lit("fun "), "name", F.lit("("), "params", F.lit("): "), kotlin_type(kind_text), F.when(F.col("is_interface") | F.lit(not bodies), "").otherwise(" = TODO()"))
     place = F.concat_ws(" ", "name", "type_text")
     fields = row(m.where("kind = 'FIELD'"), 3, place, field)
-    methods = row(m.where("kind = 'METHOD'"), 4, place, method)
-    return package.unionByName(annotations).unionByName(head).unionByName(fields).unionByName(methods).unionByName(row(t, 5, zero, F.lit("}")))
+    makers = row(built, 4, F.lit(""), maker)
+    methods = row(m.where("kind = 'METHOD'"), 5, place, method)
+    return package.unionByName(annotations).unionByName(head).unionByName(fields).unionByName(makers).unionByName(methods).unionByName(row(t, 6, zero, F.lit("}")))
 
 
 def stubs(facts: Facts, **how) -> DataFrame:

@@ -13,7 +13,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_values(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_values(table(spark, folder, "annotation_sites"))
+    """With what each value object holds; '' and -1 stand for nothing."""
+    v = nested.flatten_values(table(spark, folder, "annotation_sites"))
+    return v.fillna("", ["kind", "value", "enum_type", "annotation_type"]).fillna(-1, ["item_count"])
 
 
 def p1_annotations(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +47,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_annotations, p1_sites
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
-_VALUES = """
+VALUES_CTE = """
 WITH RECURSIVE whole AS (
   SELECT site_id, CASE WHEN json_type(attrs) = 'VARCHAR' THEN attrs::JSON ->> '$' ELSE attrs END AS js
   FROM annotation_sites WHERE site_id IS NOT NULL AND json_valid(attrs)
@@ -65,9 +67,13 @@ WITH RECURSIVE whole AS (
 )
 """
 
+VALUE_COLUMNS = """coalesce(js ->> '$.kind', '') AS kind, coalesce(js ->> '$.value', '') AS value, coalesce(js ->> '$.enumType', '') AS enum_type,
+  coalesce(js ->> '$.annotation.type', '') AS annotation_type, CASE WHEN json_type(js, '$.items') = 'ARRAY' THEN json_array_length(js, '$.items')::BIGINT ELSE -1 END AS item_count"""
+
 SQL = {
-    "p1_found": _VALUES + "SELECT site_id, path, parent_path FROM vals",
-    "p1_annotations": _VALUES + "SELECT site_id, path, parent_path, js ->> '$.annotation.type' AS annotation_type FROM vals WHERE js ->> '$.annotation.type' IS NOT NULL",
+    "p1_found": VALUES_CTE + "SELECT site_id, path, parent_path FROM vals",
+    "p1_values": VALUES_CTE + f"SELECT site_id, path, parent_path, {VALUE_COLUMNS} FROM vals",
+    "p1_annotations": VALUES_CTE + "SELECT site_id, path, parent_path, js ->> '$.annotation.type' AS annotation_type FROM vals WHERE js ->> '$.annotation.type' IS NOT NULL",
     "p1_sites": """
 SELECT site_id, r.owner_fqn, r.target, r.member, r.ann_type FROM (
   SELECT site_id, max(struct_pack(owner_fqn := owner_fqn, target := target, member := member, ann_type := ann_type)) AS r

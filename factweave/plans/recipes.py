@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import returns_match
-from ..operators import calls, catalog, graph, nested, paging
+from ..operators import calls, catalog, graph, nested, paging, usages
 from ..session import cut
 from ..sources.facts import Facts
 
@@ -20,15 +20,36 @@ def first_values(facts: Facts, names: tuple[str, ...]) -> DataFrame:
     return v.withColumn("rank", rank).where("rank is not null").groupBy("site_id").agg(F.min_by("value", F.struct("rank", "path")).alias("text"))
 
 
+#: The verbs that annotations of endpoints are named after, and return types that mean a reactive one.
+VERBS = ("Get", "Post", "Put", "Delete", "Patch")
+REACTIVE = ("reactor.core.publisher.", "org.reactivestreams.Publisher")
+
+
 def endpoints(facts: Facts, suffix: str = "Mapping") -> DataFrame:
-    """(site_id, class_fqn, method_name, verb, path): methods with a mapping annotation, their class's base path (the
-    least, if it has several) and their own joined by one slash; the verb is what the annotation's name begins with."""
+    """(site_id, class_fqn, method_name, verb, path, returns, reactive): methods with a mapping annotation, their class's
+    base path (the least, if it has several) and their own joined by one slash. The verb is that of the annotation's name,
+    else the first value of its `method`, else ANY; `returns` is the method's return type (the least), '' if unknown."""
     sites = facts.sites.where(F.endswith("ann_type", F.lit(suffix))).join(first_values(facts, ("path", "value")), "site_id", "left")
     base = sites.where("target = 'CLASS'").groupBy("owner_fqn").agg(F.min("text").alias("base"))
-    verb = F.upper(F.regexp_extract("ann_type", rf"([A-Z][a-z]+){suffix}$", 1))
-    own = sites.where("target = 'METHOD'").join(base, "owner_fqn", "left")
+    asked = first_values(facts, ("method",)).withColumnRenamed("text", "asked")
+    named = F.upper(F.regexp_extract("ann_type", rf"({'|'.join(VERBS)}){suffix}$", 1))
+    verb = F.when(named != "", named).otherwise(F.coalesce(F.when(F.col("asked") != "", F.upper("asked")), F.lit("ANY")))
+    returns = facts.members.where("kind = 'METHOD'").groupBy("owner_fqn", F.col("name").alias("member")).agg(F.min("type_text").alias("returns"))
+    own = sites.where("target = 'METHOD'").join(base, "owner_fqn", "left").join(asked, "site_id", "left").join(returns, ["owner_fqn", "member"], "left").fillna("", ["returns"])
+    reactive = F.lit(False)
+    for r in REACTIVE:
+        reactive = reactive | F.contains("returns", F.lit(r))
     path = F.concat(F.regexp_replace(F.coalesce("base", F.lit("")), "/$", ""), F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.lit("/"), F.regexp_replace("text", "^/", ""))).otherwise(""))
-    return own.select("site_id", F.col("owner_fqn").alias("class_fqn"), F.col("member").alias("method_name"), F.when(verb == "", "ANY").otherwise(verb).alias("verb"), F.when(path == "", "(no path)").otherwise(path).alias("path"))
+    return own.select("site_id", F.col("owner_fqn").alias("class_fqn"), F.col("member").alias("method_name"), verb.alias("verb"), F.when(path == "", "(no path)").otherwise(path).alias("path"), "returns", reactive.alias("reactive"))
+
+
+def functional_routes(facts: Facts, returning: str, names: tuple[str, ...]) -> DataFrame:
+    """(call_id, caller_fqn, caller_method, call_idx, method_name, handler, strings): the calls by which methods that return
+    the router's type put routes together, in order: those named like a verb, with their texts, and dynamic ones, with the
+    handler they stand for."""
+    c = calls.calls_in(facts, in_methods_returning=returning).where(F.col("method_name").isin(*names) | F.col("invoke_dynamic"))
+    texts = F.transform(F.filter("constant_args", lambda a: a["kind"] == "STRING"), lambda a: F.coalesce(a["value"], F.lit("")))
+    return c.select("call_id", "caller_fqn", "caller_method", "call_idx", F.coalesce("method_name", F.lit("")).alias("method_name"), F.coalesce("impl_method_name", F.lit("")).alias("handler"), F.coalesce(F.array_join(texts, ","), F.lit("")).alias("strings"))
 
 
 def stack(facts: Facts, prefixes: dict[str, str]) -> DataFrame:
@@ -55,9 +76,13 @@ def blocking_calls(facts: Facts, returning: str, owners: str) -> DataFrame:
 
 
 def self_invocations(facts: Facts, annotation: str) -> DataFrame:
-    """Calls within one class of a method that carries the annotation, which a proxy doesn't see."""
-    noted = facts.sites.where((F.col("target") == "METHOD") & (F.col("ann_type") == annotation)).select(F.col("owner_fqn").alias("owner_type"), F.col("member").alias("method_name"))
-    return facts.calls.where("owner_type = caller_fqn").join(noted, ["owner_type", "method_name"], "left_semi").select("call_id", "caller_fqn", "caller_method", "method_name")
+    """Calls within one class of a method that carries the annotation (a name or pattern), itself or by its class, which a
+    proxy doesn't see; constructors aren't meant."""
+    own = facts.calls.where("owner_type = caller_fqn and method_name <> '<init>'").select("call_id", "caller_fqn", "caller_method", "method_name")
+    sites = usages.sites_with(facts, annotation, ("METHOD", "CLASS"))
+    methods = sites.where("target = 'METHOD'").select(F.col("owner_fqn").alias("caller_fqn"), F.col("member").alias("method_name"))
+    classes = sites.where("target = 'CLASS'").select(F.col("owner_fqn").alias("caller_fqn"))
+    return own.join(methods, ["caller_fqn", "method_name"], "left_semi").unionByName(own.join(classes, "caller_fqn", "left_semi")).distinct()
 
 
 def string_constants(facts: Facts, method_prefix: str) -> DataFrame:
@@ -92,7 +117,7 @@ def migration_order(facts: Facts) -> DataFrame:
 def call_trace(facts: Facts, annotation: str, depth: int = 3) -> DataFrame:
     """(start, fqn, depth): methods (`type#method`) that methods with the annotation reach by calls within so many steps;
     a call on an interface goes on in the project types that implement it."""
-    noted = facts.sites.where((F.col("target") == "METHOD") & (F.col("ann_type") == annotation) & F.col("member").isNotNull())
+    noted = usages.sites_with(facts, annotation, ("METHOD",)).where("member is not null")
     start = noted.select(F.concat_ws("#", "owner_fqn", "member").alias("start")).distinct()
     direct = facts.calls.where("caller_method is not null and owner_type is not null and method_name is not null").select(F.concat_ws("#", "caller_fqn", "caller_method").alias("src"), "owner_type", "method_name").distinct()
     faces = facts.types.where("is_interface").select(F.col("fqn").alias("target"))

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calls, catalog, graph, paging, usages, xref
+from ..sources import sinks
 from ..sources.facts import Facts
+from ..streaming import refresh
+from .problems import VALUE_COLUMNS, VALUES_CTE
 
 #: Parameters of the registered queries.
 PACKAGE, NAME, METHOD, RETURNS = "com.vetchway.*", "*Client", "load*", "java.util"
-ANNOTATION, RECEIVER, FACE = "org.tarnfell.meta.ElementMapping", "java.util.List", "io.pallowick.wire.Injector"
+ANNOTATION, RECEIVER, FACE = "org.tarnfell.meta.ElementMapping", "java.util.List", "java.lang.annotation.Annotation"
+ANY_ANNOTATION, PROJECT_RETURNS, COMMON_METHOD, SCOPE = "org.tarnfell.*", "com.vetchway.", "removePolicy", "com.vetchway.quota.babadi.web.FinalChannelProvider"
 
 QUERIES: dict = {}
+SHORT = lambda c: f"regexp_replace({c}, '([\\p{{L}}_$][\\p{{L}}\\p{{N}}_$]*\\.)+', '', 'g')"
 
 
 def query(f):
@@ -76,7 +81,7 @@ def methods_search(f: Facts) -> DataFrame:
 
 @query
 def methods_annotated(f: Facts) -> DataFrame:
-    return catalog.search_methods(f, annotation=ANNOTATION, in_package=PACKAGE, include_libraries=True)
+    return catalog.search_methods(f, annotation=ANY_ANNOTATION, include_libraries=True)
 
 
 def _interfaces(f: Facts) -> DataFrame:
@@ -95,8 +100,9 @@ def hierarchy_parents(f: Facts) -> DataFrame:
 
 @query
 def hierarchy_children(f: Facts) -> DataFrame:
-    """Down from every project enum's and annotation's supertypes without a superclass of their own."""
-    return graph.children_tree(f, f.types.where("is_interface and source = 'LIBRARY'").select(F.col("fqn").alias("target")))
+    """Down from every library interface and every project class: the types of any source below them, by each way."""
+    starts = f.types.where("(is_interface and source = 'LIBRARY') or (not is_interface and source = 'PROJECT')")
+    return graph.children_tree(f, starts.select(F.col("fqn").alias("target")))
 
 
 @query
@@ -134,12 +140,22 @@ def deps_dot(f: Facts) -> DataFrame:
 
 @query
 def deps_foundation(f: Facts) -> DataFrame:
-    return graph.foundation(f, 2).withColumn("dependents", F.array_join("dependents", ","))
+    return graph.foundation(f, 2)
+
+
+@query
+def deps_foundation_links(f: Facts) -> DataFrame:
+    return graph.foundation_links(f, 2)
+
+
+@query
+def referenced_types(f: Facts) -> DataFrame:
+    return graph.referenced_types(f)
 
 
 @query
 def deps_foundation_all(f: Facts) -> DataFrame:
-    return graph.foundation(f, 0).select("fqn", "dependent_count")
+    return graph.foundation(f, 0)
 
 
 @query
@@ -148,6 +164,19 @@ def annotation_usages(f: Facts) -> DataFrame:
     return u.drop("ann_type", "param_type").fillna("", ["member", "descriptor", "field", "param_name"]).fillna(-1, ["param_index"])
 
 
+@query
+def annotation_usage_values(f: Facts) -> DataFrame:
+    v = usages.usage_values(f, usages.annotation_usages(f, ANNOTATION))
+    v = v.select("site_id", "owner_fqn", "target", "path", "kind", "value", "enum_type", "annotation_type", "item_count")
+    return v.fillna("", ["kind", "value", "enum_type", "annotation_type"]).fillna(-1, ["item_count"])
+
+
+@query
+def annotation_usages_text(f: Facts) -> DataFrame:
+    u = usages.with_attributes(f, usages.annotation_usages(f))
+    return u.orderBy(*usages.usage_order(attributes=True)).select("site_id", "owner_fqn", "ann_type", "attributes")
+
+
 @query
 def annotation_usages_methods(f: Facts) -> DataFrame:
     return usages.annotation_usages(f, scope="METHOD", include_libraries=True).select("site_id", "owner_fqn", "target", "member", "ann_type")
@@ -166,18 +195,22 @@ def annotation_counts(f: Facts) -> DataFrame:
 
 @query
 def call_windows(f: Facts) -> DataFrame:
-    w = calls.call_windows(calls.instruction_events(f))
-    return w.select("owner_fqn", "method_name", "call_id", "line", F.array_join("constants", "|").alias("constants"))
+    return calls.call_windows(f.calls).withColumn("constants", F.array_join("constants", "|"))
+
+
+@query
+def calls_of_method(f: Facts) -> DataFrame:
+    return calls.methods_with_calls(f, method=COMMON_METHOD)
 
 
 @query
 def calls_returning(f: Facts) -> DataFrame:
-    return calls.calls_in(f, in_methods_returning=RETURNS).select("call_id", "caller_fqn", "caller_method", "owner_type", "method_name")
+    return calls.calls_in(f, in_methods_returning=PROJECT_RETURNS).select("call_id", "caller_fqn", "caller_method", "owner_type", "method_name")
 
 
 @query
 def calls_annotated(f: Facts) -> DataFrame:
-    return calls.calls_in(f, in_methods_annotated=ANNOTATION).select("call_id", "caller_fqn", "caller_method", "owner_type", "method_name")
+    return calls.calls_in(f, in_methods_annotated=ANY_ANNOTATION).select("call_id", "caller_fqn", "caller_method", "owner_type", "method_name")
 
 
 @query
@@ -208,6 +241,19 @@ def xref_scope(f: Facts) -> DataFrame:
     return xref.xref(f).join(inside, "from_fqn", "left_semi").groupBy("from_fqn", "kind").agg(F.count("*").alias("n"))
 
 
+@query
+def xref_implementing(f: Facts) -> DataFrame:
+    """References from the types below one type, as rows of JSON."""
+    x = xref.xref(f, scope_implementing=SCOPE, include_libraries=True).select("type_fqn", "from_fqn", "kind").distinct()
+    return sinks.as_json(x)
+
+
+@query
+def references_by_day(f: Facts) -> DataFrame:
+    """The streaming count, over the whole table: a batch has no late rows."""
+    return refresh.reference_counts(f.raw("type_refs")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
 B = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 PLAIN = lambda c: f"trim(replace({c}, '/', '.'), {B})"
 RAW = lambda c: f"trim(split_part({PLAIN(c)}, '<', 1), {B})"
@@ -231,8 +277,18 @@ CTE = {
     "m": """m AS MATERIALIZED (
   SELECT DISTINCT from_fqn AS owner_fqn, CASE kind WHEN 'RETURN' THEN 'METHOD' ELSE 'FIELD' END AS kind, member AS name, type_fqn AS type_text
   FROM r WHERE kind IN ('RETURN', 'FIELD') AND member IS NOT NULL)""",
+    "mt": f"""mt AS MATERIALIZED (
+  SELECT n.owner_fqn, n.name, m.type_text FROM (
+    SELECT DISTINCT * FROM (
+      SELECT from_fqn AS owner_fqn, member AS name FROM r WHERE kind IN ('RETURN', 'PARAM')
+      UNION ALL SELECT {PLAIN('caller_fqn')}, caller_method FROM call_sites
+      UNION ALL SELECT owner_fqn, member FROM s WHERE target IN ('METHOD', 'PARAMETER')
+    ) WHERE owner_fqn IS NOT NULL AND name IS NOT NULL AND name <> '<init>' AND NOT starts_with(name, 'lambda$') AND NOT starts_with(name, 'access$')) n
+  LEFT JOIN m ON m.kind = 'METHOD' AND m.owner_fqn = n.owner_fqn AND m.name = n.name)""",
     "mc": """mc AS (
-  SELECT owner_fqn AS fqn, count(DISTINCT name) FILTER (kind = 'METHOD') AS method_count, count(DISTINCT name) FILTER (kind = 'FIELD') AS field_count FROM m GROUP BY 1)""",
+  SELECT owner_fqn AS fqn, count(DISTINCT name) FILTER (kind = 'METHOD') AS method_count, count(DISTINCT name) FILTER (kind = 'FIELD') AS field_count FROM (
+    SELECT owner_fqn, name, 'METHOD' AS kind FROM mt UNION ALL SELECT owner_fqn, name, kind FROM m WHERE kind = 'FIELD'
+    UNION ALL SELECT owner_fqn, field, 'FIELD' FROM s WHERE target = 'FIELD' AND field IS NOT NULL) GROUP BY 1)""",
     "se": """se AS (
   SELECT DISTINCT super, fqn AS sub FROM (SELECT fqn, unnest(list_append(interfaces, superclass)) AS super FROM t WHERE source = 'PROJECT') WHERE super IS NOT NULL AND super <> fqn)""",
     "e": """e AS MATERIALIZED (
@@ -277,9 +333,9 @@ _SUMMARY = "SELECT t.fqn, simple_name, package_name, source, visibility, is_inte
 _TARGET_NO = "CASE target WHEN 'CLASS' THEN 0 WHEN 'METHOD' THEN 1 WHEN 'CONSTRUCTOR' THEN 2 WHEN 'FIELD' THEN 3 WHEN 'PARAMETER' THEN 4 ELSE 5 END"
 
 SQL = {
-    "classes_list": _sql("t r m mc", f" {_SUMMARY} WHERE source = 'PROJECT' AND regexp_full_match(package_name, 'com\\.vetchway\\..*')"),
-    "classes_libraries": _sql("t r m mc", f" {_SUMMARY} WHERE regexp_full_match(simple_name, '.*Client') OR regexp_full_match(t.fqn, '.*Client')"),
-    "classes_interfaces": _sql("t r m mc", " SELECT t.fqn, coalesce(method_count, 0) AS method_count, coalesce(field_count, 0) AS field_count FROM t LEFT JOIN mc USING (fqn) WHERE is_interface AND source = 'PROJECT'"),
+    "classes_list": _sql("t r s m mt mc", f" {_SUMMARY} WHERE source = 'PROJECT' AND regexp_full_match(package_name, 'com\\.vetchway\\..*')"),
+    "classes_libraries": _sql("t r s m mt mc", f" {_SUMMARY} WHERE regexp_full_match(simple_name, '.*Client') OR regexp_full_match(t.fqn, '.*Client')"),
+    "classes_interfaces": _sql("t r s m mt mc", " SELECT t.fqn, coalesce(method_count, 0) AS method_count, coalesce(field_count, 0) AS field_count FROM t LEFT JOIN mc USING (fqn) WHERE is_interface AND source = 'PROJECT'"),
     "classes_annotated": _sql("t s", f" SELECT fqn, source, visibility FROM t WHERE source = 'PROJECT' AND NOT is_interface AND fqn IN (SELECT owner_fqn FROM s WHERE target = 'CLASS' AND ann_type = '{ANNOTATION}')"),
     "classes_extending": _sql("t", " SELECT fqn, source FROM t WHERE source = 'PROJECT' AND superclass = 'java.lang.Enum'"),
     "classes_implementing": _sql("t", f" SELECT fqn, source FROM t WHERE list_contains(interfaces, '{FACE}')"),
@@ -289,12 +345,12 @@ SQL = {
   coalesce((SELECT string_agg(a, ',' ORDER BY a) FROM (SELECT DISTINCT ann_type AS a FROM s WHERE target = 'CLASS' AND owner_fqn = t.fqn)), '') AS annotations,
   coalesce((SELECT string_agg(concat_ws(' ', kind, name, type_text), ',' ORDER BY kind, name, type_text) FROM m WHERE owner_fqn = t.fqn), '') AS members
 FROM t WHERE source = 'PROJECT'"""),
-    "classes_stats": _sql("t r m mc", """ SELECT count(*) FILTER (source = 'PROJECT') AS project_classes, count(*) FILTER (source = 'LIBRARY') AS library_classes, count(*) FILTER (source = 'JDK') AS jdk_classes,
+    "classes_stats": _sql("t r s m mt mc", """ SELECT count(*) FILTER (source = 'PROJECT') AS project_classes, count(*) FILTER (source = 'LIBRARY') AS library_classes, count(*) FILTER (source = 'JDK') AS jdk_classes,
   count(*) FILTER (source = 'PROJECT' AND is_interface) AS interfaces, count(*) FILTER (source = 'PROJECT' AND is_abstract AND NOT is_interface) AS abstract_classes,
   count(*) FILTER (source = 'PROJECT' AND is_enum) AS enums, count(*) FILTER (source = 'PROJECT' AND is_annotation) AS annotations,
   coalesce(sum(method_count) FILTER (source = 'PROJECT'), 0)::BIGINT AS methods, coalesce(sum(field_count) FILTER (source = 'PROJECT'), 0)::BIGINT AS fields FROM t LEFT JOIN mc USING (fqn)"""),
-    "methods_search": _sql("t r m", " SELECT m.owner_fqn AS class_fqn, name, type_text AS return_type, source FROM m JOIN t ON t.fqn = m.owner_fqn WHERE NOT is_synthetic AND source = 'PROJECT' AND kind = 'METHOD' AND name <> '<init>' AND regexp_full_match(name, 'load.*') AND contains(type_text, 'java.util')"),
-    "methods_annotated": _sql("t r m s", f" SELECT m.owner_fqn AS class_fqn, name, type_text AS return_type, source FROM m JOIN t ON t.fqn = m.owner_fqn WHERE NOT is_synthetic AND kind = 'METHOD' AND name <> '<init>' AND regexp_full_match(package_name, 'com\\.vetchway\\..*') AND EXISTS (SELECT 1 FROM s WHERE s.target = 'METHOD' AND s.ann_type = '{ANNOTATION}' AND s.owner_fqn = m.owner_fqn AND s.member = m.name)"),
+    "methods_search": _sql("t r s m mt", " SELECT mt.owner_fqn AS class_fqn, name, coalesce(type_text, '') AS return_type, source FROM mt JOIN t ON t.fqn = mt.owner_fqn WHERE source = 'PROJECT' AND regexp_full_match(name, 'load.*') AND contains(type_text, 'java.util')"),
+    "methods_annotated": _sql("t r s m mt", " SELECT mt.owner_fqn AS class_fqn, name, coalesce(type_text, '') AS return_type, source FROM mt JOIN t ON t.fqn = mt.owner_fqn WHERE EXISTS (SELECT 1 FROM s WHERE s.target = 'METHOD' AND starts_with(s.ann_type, 'org.tarnfell.') AND s.owner_fqn = mt.owner_fqn AND s.member = mt.name)"),
     "hierarchy_interfaces": _sql("t", f""" , pos AS (
   SELECT target, fqn, row_number() OVER (PARTITION BY target ORDER BY i) - 1 AS position FROM (
     SELECT fqn AS target, f AS fqn, min(i) AS i FROM (SELECT fqn, unnest(interfaces) AS f, generate_subscripts(interfaces, 1) AS i FROM t) GROUP BY 1, 2))
@@ -313,30 +369,45 @@ SELECT target, direction, coalesce(t.source, 'LIBRARY') AS source, type, count(*
 UNION ALL SELECT 1, fqn, '', '  "' || fqn || '" [label="' || simple_name || '"];' FROM t WHERE source = 'PROJECT'
 UNION ALL SELECT 2, source, target, '  "' || source || '" -> "' || target || '" [style=' || CASE type WHEN 'EXTENDS' THEN 'bold' WHEN 'IMPLEMENTS' THEN 'dashed' ELSE 'solid' END || '];' FROM g
 UNION ALL SELECT 3, '', '', '}'"""),
-    "deps_foundation": _sql("t r e g", " SELECT target AS fqn, count(*) AS dependent_count, string_agg(source, ',' ORDER BY source) AS dependents FROM g GROUP BY 1 HAVING count(*) >= 2"),
+    "deps_foundation": _sql("t r e g", " SELECT target AS fqn, count(*) AS dependent_count FROM g GROUP BY 1 HAVING count(*) >= 2"),
+    "deps_foundation_links": _sql("t r e g", " SELECT target AS fqn, source AS dependent FROM g WHERE target IN (SELECT target FROM g GROUP BY 1 HAVING count(*) >= 2)"),
+    "referenced_types": _sql("t r s", f""" , named_types AS (
+  SELECT fqn, unnest(list_concat([superclass], superclass_args, interfaces, interface_args)) AS type_fqn FROM t
+  UNION ALL SELECT from_fqn, trim(split_part(trim(replace(type_fqn, '[]', '')), '<', 1)) FROM r
+  UNION ALL SELECT owner_fqn, ann_type FROM s
+  UNION ALL SELECT {PLAIN('caller_fqn')}, trim(split_part(trim(replace({PLAIN('owner_type')}, '[]', '')), '<', 1)) FROM call_sites WHERE NOT invoke_dynamic)
+SELECT DISTINCT fqn, type_fqn FROM named_types WHERE type_fqn <> '' AND fqn <> type_fqn AND type_fqn NOT IN ('void', 'boolean', 'byte', 'char', 'short', 'int', 'long', 'float', 'double')"""),
     "deps_foundation_all": _sql("t r e g", " SELECT fqn, (SELECT count(*) FROM g WHERE g.target = t.fqn) AS dependent_count FROM t WHERE source = 'PROJECT'"),
     "annotation_usages": _sql("t s u", f" SELECT site_id, owner_fqn, target, coalesce(member, '') AS member, coalesce(descriptor, '') AS descriptor, coalesce(field, '') AS field, coalesce(param_index, -1) AS param_index, coalesce(param_name, '') AS param_name FROM u WHERE ann_type = '{ANNOTATION}'"),
+    "annotation_usage_values": VALUES_CTE + ", " + _sql("t s u", f""" SELECT u.site_id, owner_fqn, target, path, {VALUE_COLUMNS} FROM u JOIN vals USING (site_id) WHERE ann_type = '{ANNOTATION}'""").removeprefix("WITH RECURSIVE "),
+    "annotation_usages_text": VALUES_CTE + ", " + _sql("t s u", """, leaf AS (
+  SELECT site_id, path, path || '=' || coalesce(CASE js ->> '$.kind' WHEN 'STRING' THEN '"' || (js ->> '$.value') || '"' WHEN 'CLASS' THEN SHORT(js ->> '$.value') WHEN 'ANNOTATION' THEN '@' || SHORT(js ->> '$.annotation.type') ELSE js ->> '$.value' END, '') AS text
+  FROM vals WHERE js ->> '$.kind' <> 'ARRAY' AND NOT (js ->> '$.kind' = 'STRING' AND coalesce(js ->> '$.value', '') = '')
+), attrs_text AS (SELECT site_id, string_agg(text, ', ' ORDER BY path) AS attributes FROM leaf GROUP BY 1)
+SELECT u.site_id, owner_fqn, ann_type, coalesce(attributes, '') AS attributes FROM u LEFT JOIN attrs_text USING (site_id)""".replace("SHORT(js ->> '$.value')", SHORT("(js ->> '$.value')")).replace("SHORT(js ->> '$.annotation.type')", SHORT("(js ->> '$.annotation.type')"))).removeprefix("WITH RECURSIVE "),
     "annotation_usages_methods": _sql("s", " SELECT site_id, owner_fqn, target, CASE target WHEN 'CONSTRUCTOR' THEN '<init>' ELSE member END AS member, ann_type FROM s WHERE target IN ('METHOD', 'CONSTRUCTOR')"),
     "annotation_usages_page": _sql("t s u", f" SELECT row_number() OVER (ORDER BY owner_fqn, {_TARGET_NO}, coalesce(member, ''), coalesce(descriptor, ''), coalesce(field, ''), coalesce(param_index, -1), coalesce(param_name, ''), ann_type, site_id) AS row_no, site_id, owner_fqn, target FROM u QUALIFY row_no BETWEEN 101 AND 150"),
     "annotation_counts": _sql("t s u", " SELECT target, count(*) AS n FROM u GROUP BY 1"),
-    "call_windows": _sql("c", """ , k AS (
-  SELECT *, CASE WHEN invoke_dynamic THEN 'INDY' WHEN owner_type IS NULL OR method_name IS NULL THEN 'RESET' ELSE 'CALL' END AS event FROM c WHERE caller_method IS NOT NULL
-), grp AS (
-  SELECT *, coalesce(count(*) FILTER (event <> 'INDY') OVER (PARTITION BY caller_fqn, caller_method ORDER BY call_idx, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp,
-    last_value(line_number IGNORE NULLS) OVER (PARTITION BY caller_fqn, caller_method ORDER BY call_idx, call_id) AS line FROM k
-), acc AS (
-  SELECT *, flatten(list(list_transform(coalesce(constant_args, []), lambda a: a.kind || ':' || coalesce(a.value, ''))) OVER (PARTITION BY caller_fqn, caller_method, grp ORDER BY call_idx, call_id)) AS loaded FROM grp
-)
-SELECT caller_fqn AS owner_fqn, caller_method AS method_name, call_id, line,
-  CASE event WHEN 'INDY' THEN '' ELSE coalesce(array_to_string(list_slice(loaded, greatest(len(loaded) - 15, 1), len(loaded)), '|'), '') END AS constants
-FROM acc WHERE event <> 'RESET'"""),
-    "calls_returning": _sql("r m c", " SELECT call_id, caller_fqn, caller_method, owner_type, method_name FROM c WHERE EXISTS (SELECT 1 FROM m WHERE kind = 'METHOD' AND contains(type_text, 'java.util') AND m.owner_fqn = c.caller_fqn AND m.name = c.caller_method)"),
-    "calls_annotated": _sql("s c", f" SELECT call_id, caller_fqn, caller_method, owner_type, method_name FROM c WHERE EXISTS (SELECT 1 FROM s WHERE target = 'METHOD' AND ann_type = '{ANNOTATION}' AND s.owner_fqn = c.caller_fqn AND s.member = c.caller_method)"),
+    "call_windows": _sql("c", """ SELECT caller_fqn, caller_method, call_idx, call_id, line_number,
+  CASE WHEN invoke_dynamic THEN '' ELSE coalesce(array_to_string(list_transform(list_slice(constant_args, greatest(len(constant_args) - 15, 1), len(constant_args)), lambda a: a.kind || ':' || coalesce(a.value, '')), '|'), '') END AS constants
+FROM c WHERE caller_method IS NOT NULL AND (invoke_dynamic OR (owner_type IS NOT NULL AND method_name IS NOT NULL))"""),
+    "calls_of_method": _sql("r s m mt c", f""", n AS (SELECT caller_fqn AS owner_fqn, caller_method AS name, count(*) AS calls FROM c WHERE caller_method = '{COMMON_METHOD}' GROUP BY 1, 2)
+SELECT coalesce(k.owner_fqn, n.owner_fqn) AS owner_fqn, coalesce(k.name, n.name) AS name, coalesce(calls, 0) AS calls
+FROM (SELECT DISTINCT owner_fqn, name FROM mt WHERE name = '{COMMON_METHOD}') k FULL JOIN n ON k.owner_fqn = n.owner_fqn AND k.name = n.name"""),
+    "calls_returning": _sql("r m c", " SELECT call_id, caller_fqn, caller_method, owner_type, method_name FROM c WHERE EXISTS (SELECT 1 FROM m WHERE kind = 'METHOD' AND contains(type_text, 'com.vetchway.') AND m.owner_fqn = c.caller_fqn AND m.name = c.caller_method)"),
+    "calls_annotated": _sql("s c", f" SELECT call_id, caller_fqn, caller_method, owner_type, method_name FROM c WHERE EXISTS (SELECT 1 FROM s WHERE target = 'METHOD' AND starts_with(ann_type, 'org.tarnfell.') AND s.owner_fqn = c.caller_fqn AND s.member = c.caller_method)"),
     "calls_per_method": _sql("c", " SELECT caller_fqn, caller_method, count(*) AS calls FROM c GROUP BY 1, 2"),
     "xref_rows": _sql("t r s c named x", f" SELECT type_fqn, from_fqn, kind, coalesce(member, '') AS member, coalesce(detail, '') AS detail, coalesce(line, -1) AS line FROM x WHERE type_fqn = '{RECEIVER}'"),
     "xref_by_kind": _sql("t r s c named x", " SELECT kind, count(*) AS n FROM x GROUP BY 1", ""),
     "xref_by_package": _sql("t r s c named x", " SELECT regexp_extract(from_fqn, '^(.*)\\.[^.]*$', 1) AS package, count(*) AS n FROM x WHERE kind = 'CALL_RECEIVER' GROUP BY 1"),
     "xref_scope": _sql("t r s c named x se impl", " SELECT from_fqn, kind, count(*) AS n FROM x WHERE from_fqn IN (SELECT fqn FROM impl) GROUP BY 1, 2"),
+    "xref_implementing": _sql("t r s c named x", f""", sub AS (
+  SELECT DISTINCT super, fqn AS sub FROM (SELECT fqn, unnest(list_append(interfaces, superclass)) AS super FROM t) WHERE super IS NOT NULL AND super <> fqn
+), inside AS (
+  SELECT sub AS fqn FROM sub WHERE super = '{SCOPE}' AND super IN (SELECT fqn FROM t) UNION SELECT s2.sub FROM inside i JOIN sub s2 ON s2.super = i.fqn)
+SELECT DISTINCT to_json(struct_pack(type_fqn := type_fqn, from_fqn := from_fqn, kind := kind))::VARCHAR AS json FROM x WHERE from_fqn IN (SELECT fqn FROM inside)""", ""),
+    "references_by_day": """SELECT strftime(start, '%Y-%m-%d') AS start, kind, count(*) AS n FROM (
+  SELECT DISTINCT ON (ref_id) ref_id, kind, date_trunc('day', seen_at) AS start FROM type_refs WHERE seen_at IS NOT NULL AND ref_id IS NOT NULL) GROUP BY 1, 2""",
     "implementations": _sql("t se impl", " SELECT target, fqn, relation, depth FROM (SELECT *, (SELECT min(d) FROM hops WHERE hops.target = impl.target AND hops.fqn = impl.fqn) AS depth FROM impl)").replace("), impl AS (", "), hops(target, fqn, d) AS (SELECT super, sub, 1 FROM se WHERE super IN (SELECT fqn FROM t WHERE is_interface AND source = 'PROJECT') UNION SELECT h.target, se.sub, h.d + 1 FROM hops h JOIN se ON se.super = h.fqn WHERE h.d < 60), impl AS ("),
     "hierarchy_parents": _sql("t", """ , up AS (
   SELECT fqn, coalesce(superclass, CASE WHEN NOT is_interface AND NOT is_annotation AND fqn <> 'java.lang.Object' THEN 'java.lang.Object' END) AS parent FROM t
@@ -350,7 +421,7 @@ SELECT target, depth, chain.fqn, CASE WHEN chain.fqn = 'java.lang.Object' THEN '
     SELECT superclass AS super, fqn AS sub, false AS face FROM t WHERE superclass IS NOT NULL
     UNION ALL SELECT unnest(interfaces), fqn, true FROM t) x JOIN t k ON k.fqn = x.super AND k.is_interface = x.face
 ), tree(target, depth, way) AS (
-  SELECT fqn, 0, [fqn] FROM t WHERE is_interface AND source = 'LIBRARY'
+  SELECT fqn, 0, [fqn] FROM t WHERE (is_interface AND source = 'LIBRARY') OR (NOT is_interface AND source = 'PROJECT')
   UNION ALL SELECT target, depth + 1, list_append(way, ce.sub) FROM tree JOIN ce ON ce.super = way[-1] WHERE NOT list_contains(way, ce.sub)
 )
 SELECT target, depth, array_to_string(way, '>') AS path, way[-1] AS fqn FROM tree WHERE depth > 0"""),

@@ -62,6 +62,51 @@ def jar_parts(location: Column) -> Column:
     return F.when(location.rlike(rx), F.struct(F.regexp_extract(location, rx, 1).alias("artifact"), F.regexp_extract(location, rx, 2).alias("version")))
 
 
+def mapped_coordinates(lines: DataFrame) -> DataFrame:
+    """(path, group, artifact, version) from lines(ordinal, value) of the form `group:artifact:version|path`, parted at the
+    first `|`; of lines with one path the last holds, lines without a path or with fewer parts are left out."""
+    at = F.locate("|", "value")
+    parted = lines.where(at > 0).select("ordinal", F.trim(F.expr("substring(value, locate('|', value) + 1)")).alias("path"), coordinates(F.trim(F.substring_index("value", "|", 1))).alias("c"))
+    last = parted.where("path <> '' and c is not null").groupBy("path").agg(F.max_by("c", "ordinal").alias("c"))
+    return last.select("path", "c.*")
+
+
+def located_coordinates(types: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(fqn, group, artifact, version): the coordinates of the archive each type comes from, by the mapping of its path,
+    else by the path's own name, without a group; types from elsewhere have none."""
+    named = types.where("location is not null").select("fqn", F.col("location").alias("path"), jar_parts(F.col("location")).alias("own"))
+    found = named.join(mapping.select("path", F.struct("group", "artifact", "version").alias("c")), "path", "left")
+    return found.where("c is not null or own is not null").select("fqn", F.col("c.group").alias("group"), F.coalesce("c.artifact", "own.artifact").alias("artifact"), F.coalesce("c.version", "own.version").alias("version"))
+
+
+def cacheable_name(name: Column) -> Column:
+    """Whether a class name may be the name of a cached file."""
+    return F.coalesce(name.rlike(r"^[a-zA-Z0-9._$]+$") & ~F.contains(name, F.lit("..")), F.lit(False))
+
+
+def source_listing(entries: DataFrame, endings: tuple[str, ...] = (".java", ".kt")) -> DataFrame:
+    """The source files among entries(archive, entry, ...) of archives; folders, and entries that would leave the folder
+    they are extracted to, are none."""
+    ends = F.lit(False)
+    for e in endings:
+        ends = ends | F.endswith("entry", F.lit(e))
+    return entries.where(ends & safe_entry(F.col("entry")))
+
+
+def entry_for_type(entries: DataFrame, types: DataFrame) -> DataFrame:
+    """(fqn, archive, entry): of entries(archive, entry) the one that holds each type, by its name as a path below any
+    module folder: `.java` before `.kt`, its own before its outermost type's, then the least."""
+    path = lambda c: F.replace(c, F.lit("."), F.lit("/"))
+    outer = F.substring_index("fqn", "$", 1)
+    wanted = types.select("fqn", F.explode(F.array(*[F.struct(F.concat(path(n), F.lit(e)).alias("tail"), F.lit(2 * i + j).alias("rank")) for i, n in enumerate((F.col("fqn"), outer)) for j, e in enumerate((".java", ".kt"))])).alias("w"))
+    wanted = wanted.select("fqn", "w.tail", "w.rank")
+    # every tail of an entry's path, so that folders before the package don't matter
+    parts = F.split("entry", "/")
+    tails = entries.select("archive", "entry", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("tail"))
+    best = wanted.join(tails, "tail").groupBy("fqn").agg(F.min(F.struct("rank", "archive", "entry")).alias("b"))
+    return best.select("fqn", "b.archive", "b.entry")
+
+
 def cache_key(path: Column) -> Column:
     return truncated_sha256(path, 16)
 
@@ -83,21 +128,33 @@ def cache_statistics(sources: DataFrame) -> DataFrame:
 
 def resolve_sources(types: DataFrame, sources: DataFrame) -> DataFrame:
     """(fqn, path, found): the file that holds each type, or its outermost type: of several the main one, then project
-    before library files, Java before Kotlin, then the least path. A type without a file is SOURCE_NOT_FOUND, and a stub
-    made from its facts stands in for it."""
+    before library files, Java before Kotlin, then the least module and path. A type without a file is SOURCE_NOT_FOUND,
+    and a stub made from its facts stands in for it (`source_or_stub`)."""
     outer = F.substring_index("fqn", "$", 1)
     rank = F.struct(
         (F.col("source_set") != "main").alias("other_set"),
         (F.col("origin") != "PROJECT_SOURCE").alias("library"),
         (~F.endswith("path", F.lit(".java"))).alias("other_language"),
+        F.coalesce("module", F.lit("")).alias("module"),
         F.col("path").alias("path"),
     )
-    files = sources.where("content is not null").select(F.col("fqn").alias("outer"), F.coalesce("source_set", F.lit("")).alias("source_set"), F.coalesce("origin", F.lit("")).alias("origin"), "path")
+    files = sources.where("content is not null").select(F.col("fqn").alias("outer"), F.coalesce("source_set", F.lit("")).alias("source_set"), F.coalesce("origin", F.lit("")).alias("origin"), "module", "path")
     best = files.groupBy("outer").agg(F.min(rank).alias("best"), F.min_by("origin", rank).alias("origin"))
     named = types.select("fqn", outer.alias("outer"))
     return named.join(best, "outer", "left").select("fqn", F.col("best.path").alias("path"), F.coalesce("origin", F.lit("SOURCE_NOT_FOUND")).alias("found"))
 
 
+def source_or_stub(types: DataFrame, sources: DataFrame, stubs: DataFrame) -> DataFrame:
+    """(fqn, found, text): what can be shown of each type: the file that holds it, by `resolve_sources`, with its origin; else
+    its stub from stubs(fqn, text), as STUB; else no text, as SOURCE_NOT_FOUND."""
+    best = resolve_sources(types, sources)
+    outer = F.substring_index("fqn", "$", 1)
+    files = sources.where("content is not null").select(F.col("fqn").alias("outer"), "path", F.coalesce("origin", F.lit("")).alias("found"), "content").groupBy("outer", "path", "found").agg(F.max("content").alias("content"))
+    held = best.withColumn("outer", outer).join(files, ["outer", "path", "found"], "left").join(stubs.select("fqn", "text"), "fqn", "left")
+    stubbed = F.col("content").isNull() & F.col("text").isNotNull()
+    return held.select("fqn", F.when(stubbed, "STUB").otherwise(F.col("found")).alias("found"), F.coalesce("content", "text").alias("text"))
+
+
 def source_files(spark: SparkSession, folder: str, include_tests: bool = True, pattern: str | None = None) -> DataFrame:
     """(path, content) of the Kotlin files below a folder, whole; build folders and, if asked, tests are left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{kt,kts}").text(folder, wholetext=True)

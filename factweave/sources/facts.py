@@ -82,11 +82,23 @@ class Facts:
         kind = F.when(F.col("kind") == "RETURN", "METHOD").when(F.col("kind") == "FIELD", "FIELD")
         return self.refs.select(F.col("from_fqn").alias("owner_fqn"), kind.alias("kind"), F.col("member").alias("name"), F.col("type_fqn").alias("type_text")).where("kind is not null and name is not null").distinct()
 
+    @cached_property
+    def methods(self) -> DataFrame:
+        """(owner_fqn, name, type_text): every method that any fact names, by its return types, null where none is known:
+        methods with a return type, parameters, annotations or calls of their own. Overloads of one return type are one;
+        what compilers add (`lambda$...`, `access$...`) is left out."""
+        names = self.refs.where("kind in ('RETURN', 'PARAM')").select(F.col("from_fqn").alias("owner_fqn"), F.col("member").alias("name"))
+        names = names.unionByName(self.raw("call_sites").select(plain_name("caller_fqn").alias("owner_fqn"), F.col("caller_method").alias("name")))
+        names = names.unionByName(self.sites.where("target in ('METHOD', 'PARAMETER')").select("owner_fqn", F.col("member").alias("name")))
+        names = names.where("owner_fqn is not null and name is not null and name <> '<init>' and not startswith(name, 'lambda$') and not startswith(name, 'access$')").distinct()
+        typed = self.members.where("kind = 'METHOD'").select("owner_fqn", "name", "type_text")
+        return names.join(typed, ["owner_fqn", "name"], "left")
+
     @cached_property
     def sources(self) -> DataFrame:
-        """One row per file."""
+        """One row per file, told by origin, module and path."""
         rows = self.raw("sources").select("fqn", "path", "language", "module", "source_set", "origin", "content")
-        return rows.where("path is not null").groupBy("path").agg(F.max(F.struct("fqn", "language", "module", "source_set", "origin", "content")).alias("r")).select("path", "r.*")
+        return rows.where("path is not null").groupBy("origin", "module", "path").agg(F.max(F.struct("fqn", "language", "source_set", "content")).alias("r")).select("origin", "module", "path", "r.*")
 
     @cached_property
     def dep_edges(self) -> DataFrame:

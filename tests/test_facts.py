@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import names
-from factweave.operators import calls, catalog, graph, paging, text, usages, xref
+from factweave.operators import calls, catalog, declarations, graph, paging, text, usages, xref
 from factweave.sources import classpath
 from factweave.sources.facts import Facts
 from factweave.streaming import refresh
@@ -60,10 +60,10 @@ def test_lists(facts):
     assert col(catalog.list_classes(facts, implements="p.A"), "fqn") == ["p.B", "p.C"]
     assert col(catalog.list_classes(facts, package="q"), "fqn") == []
     row = catalog.list_classes(facts, name="C").head()
-    assert (row["method_count"], row["field_count"]) == (2, 0)
+    assert (row["method_count"], row["field_count"]) == (2, 1)
     assert catalog.class_detail(facts, fqn="p.nowhere").count() == 0
     s = catalog.statistics(facts).head()
-    assert (s["project_classes"], s["library_classes"], s["interfaces"], s["abstract_classes"], s["methods"], s["fields"]) == (7, 1, 1, 1, 3, 1)
+    assert (s["project_classes"], s["library_classes"], s["interfaces"], s["abstract_classes"], s["methods"], s["fields"]) == (7, 1, 1, 1, 2, 2)
 
 
 def test_methods(facts):
@@ -84,7 +84,9 @@ def test_graph(facts, spark):
     assert col(graph.declared_interfaces(facts, t("p.C")), "position", "fqn") == [(0, "p.A")]
     assert col(graph.dependencies(facts, t("p.A")), "direction", "class_fqn", "type") == [("INCOMING", "p.B", "FIELD_TYPE"), ("INCOMING", "p.B", "IMPLEMENTS"), ("INCOMING", "p.C", "IMPLEMENTS"), ("INCOMING", "p.C", "METHOD_PARAMETER"), ("INCOMING", "p.C", "METHOD_RETURN_TYPE")]
     assert col(graph.graph_edges(facts), "source", "target", "type") == [("p.B", "p.A", "IMPLEMENTS"), ("p.C", "p.A", "IMPLEMENTS"), ("p.C", "p.B", "EXTENDS"), ("p.X", "p.Y", "EXTENDS"), ("p.Y", "p.X", "EXTENDS")]
-    assert [(r[0], r[1], r[2]) for r in graph.foundation(facts).collect()] == [("p.A", 2, ["p.B", "p.C"])]
+    assert [tuple(r) for r in graph.foundation(facts).collect()] == [("p.A", 2)]
+    assert col(graph.foundation_links(facts), "fqn", "dependent") == [("p.A", "p.B"), ("p.A", "p.C")]
+    assert ("p.C", "lib.L") in col(graph.referenced_types(facts), "fqn", "type_fqn")
     assert graph.foundation(facts, 0).count() == 7
     n = {r["fqn"]: (r["in_degree"], r["out_degree"]) for r in graph.graph_nodes(facts).collect()}
     assert n["p.A"] == (2, 0) and n["p.C"] == (0, 2) and n["p.D"] == (0, 0)
@@ -105,18 +107,34 @@ def test_usages(facts):
 
 
 def test_call_windows(facts):
-    w = {r["call_id"]: r["constants"] for r in calls.call_windows(calls.instruction_events(facts)).collect()}
-    assert w[1] == ["STRING:a", "STRING:b"] and w[2] == []  # a dynamic call takes none and leaves them
-    assert w[3] == [f"STRING:{x}" for x in "ghijklmnopqrstuv"]  # the last sixteen, the dynamic call's among those before
-    assert 4 not in w and w[5] == [] and w[6] == []  # a call without a name takes them away
+    w = {r["call_id"]: r["constants"] for r in calls.call_windows(facts.calls).collect()}
+    assert w[1] == ["STRING:a", "STRING:b"] and w[2] == []  # a dynamic call has none
+    assert w[3] == [f"STRING:{x}" for x in "ghijklmnopqrstuv"]  # the last sixteen
+    assert 4 not in w and w[5] == [] and w[6] == []  # a call without a name has no row
 
 
 def test_call_filters(facts):
     assert col(calls.calls_in(facts, in_methods_annotated="n.N"), "call_id") == [1, 2, 3, 4, 5]
     assert col(calls.calls_in(facts, in_class="p.C", method="n"), "call_id") == [6]
     assert col(calls.calls_in(facts, in_methods_returning="int"), "call_id") == []
-    with pytest.raises(ValueError):
-        calls.calls_in(facts, descriptor="()V")
+    assert col(calls.methods_with_calls(facts), "owner_fqn", "name", "calls") == [("p.C", "m", 5), ("p.C", "n", 1)]
+    assert col(calls.methods_with_calls(facts, "p.C", "m"), "name", "calls") == [("m", 5)] and col(calls.methods_with_calls(facts, method="none"), "name") == []
+
+
+def test_meta_annotations(facts, spark, tmp_path):
+    rows = [(1, "a.B", "CLASS", None, "n.Meta"), (2, "a.C", "CLASS", None, "a.B"), (3, "p.X", "METHOD", "m", "a.C"), (4, "p.Y", "CLASS", None, "n.Meta"), (5, "n.Meta", "CLASS", None, "n.Meta"), (6, "p.Z", "CLASS", None, "n.Other")]
+    df = spark.createDataFrame(rows, "site_id long, owner_fqn string, target string, member string, ann_type string")
+    for c, t in (("descriptor", "string"), ("field", "string"), ("param_name", "string"), ("param_index", "int"), ("param_type", "string"), ("attrs", "string")):
+        df = df.withColumn(c, F.lit(None).cast(t))
+    df.write.parquet(f"{tmp_path}/annotation_sites.parquet")
+    f = Facts(spark, str(tmp_path))
+    assert col(usages.sites_with(f, "n.Meta"), "site_id") == [1, 2, 3, 4, 5]
+    assert col(usages.sites_with(f, "n.Me*", ("METHOD",)), "site_id") == [3] and col(usages.sites_with(f, "n.Meta", meta=False), "site_id") == [1, 4, 5]
+
+
+def test_attributes(facts, spark):
+    v = usages.with_attributes(facts, usages.annotation_usages(facts, "n.N"))
+    assert {r["attributes"] for r in v.collect()} == {""} and usages.usage_values(facts, v.drop("attributes")).count() == 0
 
 
 def test_xref(facts):
@@ -136,6 +154,8 @@ def test_paging(spark):
     assert paging.paginate(df, [F.col("id")], 43_000_000, 50).collect() == []
     assert paging.paginate(df, [F.col("id")], 5, 3).collect() == []
     assert (paging.total_pages(0, 50), paging.total_pages(101, 50)) == (1, 3)
+    assert [(r["id"], r["row_no"]) for r in paging.paginate(spark.range(200_010), [F.col("id")], 4000, 50).collect()] == [(200_000 + i, 200_001 + i) for i in range(10)]
+    assert paging.page_of(df, [F.col("id")], 1, 3)[1:] == (7, 3)
     for bad in ((-1, 5), (0, 0)):
         with pytest.raises(ValueError):
             paging.paginate(df, [F.col("id")], *bad)
@@ -148,6 +168,7 @@ def test_names(spark):
     assert one(names.erased(F.lit("java.util.List<String>[]"))) == "java.util.List" and one(names.erased(F.lit("int[]"))) is None
     assert one(names.percent_encoded(F.lit("a b*~/é"))) == "a%20b%2A~%2F%C3%A9"
     assert one(names.duration_text(F.lit(7384))) == "2h 3m 4s" and one(names.duration_text(F.lit(64))) == "1m 4s"
+    assert [one(names.timeout_minutes(F.lit(x))) for x in ("30m", " 2h ", "0", "7", "junk", "-1", "", None)] == [30, 120, 0, 7, 30, 30, 30, 30]
     assert one(names.short_type(F.lit("java.util.Map<a.B, c.D>"))) == "Map<B, D>"
     assert one(names.package_of(F.lit("a.b.C"))) == "a.b" and one(names.package_of(F.lit("C"))) == ""
 
@@ -161,6 +182,26 @@ def test_classpath(spark):
     assert tuple(row["c"]) == ("g.h", "a", "1") and row["d"] is None and row["z"] and not row["s"] and row["j"] == "a-1-sources.jar" and row["p"] == "g/h/a/1"
 
 
+def test_coordinates_and_entries(spark, facts):
+    lines = spark.createDataFrame([(0, "g.h:a:1:x|/lib/a-1.2.jar"), (1, "g:b:2|/lib/a-1.2.jar|y"), (2, "bad|/x"), (3, "g:a:1"), (4, "g:c:3|/lib/c.jar")], "ordinal int, value string")
+    m = classpath.mapped_coordinates(lines)
+    assert col(m, "path", "artifact") == [("/lib/a-1.2.jar", "a"), ("/lib/a-1.2.jar|y", "b"), ("/lib/c.jar", "c")]
+    assert [tuple(r) for r in classpath.located_coordinates(facts.types, m).collect()] == [("lib.L", "g.h", "a", "1")]
+    assert [tuple(r) for r in classpath.located_coordinates(facts.types, m.limit(0)).collect()] == [("lib.L", None, "a", "1.2")]
+    e = spark.createDataFrame([("a.jar", n) for n in ("p/A.java", "java.base/p/B.kt", "p/B.java", "p/x.txt", "../evil.java", "p/")], "archive string, entry string")
+    e = classpath.source_listing(e)
+    assert col(e, "entry") == ["java.base/p/B.kt", "p/A.java", "p/B.java"]
+    t = spark.createDataFrame([("p.A",), ("p.B$In",), ("q.C",)], "fqn string")
+    assert {r["fqn"]: r["entry"] for r in classpath.entry_for_type(e, t).collect()} == {"p.A": "p/A.java", "p.B$In": "p/B.java"}
+    assert [r[0] for r in spark.createDataFrame([("a.B$1",), ("a..b",), ("a/b",), (None,)], "n string").select(classpath.cacheable_name(F.col("n"))).collect()] == [True, False, False, False]
+
+
+def test_source_or_stub(facts, spark):
+    stubs_ = spark.createDataFrame([("p.A", "stub A"), ("p.B", "stub B")], "fqn string, text string")
+    got = {r["fqn"]: (r["found"], r["text"]) for r in classpath.source_or_stub(facts.types, facts.sources, stubs_).collect()}
+    assert got["p.A"] == ("PROJECT_SOURCE", "class A {}") and got["p.B"] == ("STUB", "stub B") and got["p.C"] == ("SOURCE_NOT_FOUND", None)
+
+
 def test_sources(facts):
     found = {r["fqn"]: (r["path"], r["found"]) for r in classpath.resolve_sources(facts.types, facts.sources).collect()}
     assert found["p.A"] == ("src/A.java", "PROJECT_SOURCE") and found["p.B"] == (None, "SOURCE_NOT_FOUND")
@@ -169,27 +210,55 @@ def test_sources(facts):
 def test_lint_and_format(spark):
     rows = [("a", "import x.*;\n\n\n\tint a; \nlast"), ("b", ""), ("c", None), ("d", "ok\n"), ("e", "x" * 141 + "\r\n")]
     df = spark.createDataFrame(rows, "path string, content string")
-    f = text.lint(text.source_lines(df))
+    f = text.lint(df)
+    assert text.lint_summary(df).head() == (4, 2, 6)
     assert col(f, "path", "line_no", "rule") == [("a", 1, "no-wildcard-imports"), ("a", 3, "no-consecutive-blank-lines"), ("a", 4, "no-tabs"), ("a", 4, "no-trailing-spaces"), ("a", 5, "final-newline"), ("e", 1, "max-line-length")]
     assert col(text.lint_rollup(f), "path", "errors", "fixable") == [("a", 5, 4), ("e", 1, 0)]
-    new = {r["path"]: (r["content"], r["changed"]) for r in text.format_files(df).collect()}
-    assert new["a"] == ("import x.*;\n\n    int a;\nlast\n", True) and new["b"] == ("", False) and new["d"] == ("ok\n", False)
-    assert text.lint(text.source_lines(df.limit(0))).count() == 0
+    new = {r["path"]: (r["content"], r["changed"], r["remaining"]) for r in text.format_files(df).collect()}
+    assert new["a"] == ("import x.*;\n\n    int a;\nlast\n", True, 1) and new["b"] == ("", False, 0) and new["d"] == ("ok\n", False, 0) and new["e"][2] == 1
+    assert text.lint(df.limit(0)).count() == 0
+    assert "Exchange" not in f._jdf.queryExecution().executedPlan().toString()
 
 
 def test_signatures(spark):
-    src = "package a;\n\n/**\n * T.\n */\npublic class A {\n    /**\n     * M.\n     */\n    @X\n    public int m() {\n        if (x) {\n        }\n    }\n    /**\n     * gone\n     */\n    ;\n    private int f;\n    abstract public void n();\n}\n"
-    out = text.doc_signatures(text.source_lines(spark.createDataFrame([("p", src)], "path string, content string")))
-    assert [r["text"] for r in out.orderBy("line_no").collect()] == ["package a;", "/**", " * T.", " */", "public class A {", "    /**", "     * M.", "     */", "    public int m() { /* ... */ }", "    private int f;", "    abstract public void n();"]
-    hidden = text.doc_signatures(text.source_lines(spark.createDataFrame([("p", src)], "path string, content string")), visibility="PUBLIC")
+    src = "package a;\n\n/**\n * T.\n */\npublic class A {\n    /**\n     * M.\n     */\n    @X\n    public int m() {\n        if (x) {\n        }\n        int local = go(1);\n    }\n    /**\n     * gone\n     */\n    ;\n    private int f;\n    abstract public void n();\n    static class In {\n        /** one line\n        goes on */\n        int g = 1;\n    }\n    A(int x) {\n    }\n}\n"
+    df = spark.createDataFrame([("p.java", src), ("q.java", None), ("r.kt", "package b\n\ninternal class K(val a: Int) {\n    fun <T> List<T>.go(): Int {\n        val x = 1\n        return x\n    }\n    private val y: Int = 2\n    companion object {\n        fun z() = 1\n    }\n}\nfun top() = 1\n")], "path string, content string")
+    out = {}
+    for r in text.doc_signatures(df).orderBy("line_no").collect():
+        out.setdefault(r["path"], []).append(r["text"])
+    assert out["p.java"] == ["package a;", "/**", " * T.", " */", "public class A {", "    /**", "     * M.", "     */", "    public int m() { /* ... */ }", "    private int f;", "    abstract public void n();", "    static class In {", "        /** one line", "        goes on */", "        int g = 1;", "    A(int x) { /* ... */ }"]
+    assert out["r.kt"] == ["package b", "internal class K(val a: Int) {", "    fun <T> List<T>.go(): Int { /* ... */ }", "    private val y: Int = 2;", "    companion object {", "        fun z() = 1;"]
+    hidden = text.doc_signatures(df, visibility="PUBLIC")
     assert "    private int f;" not in [r["text"] for r in hidden.collect()]
+    assert text.doc_signatures(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("language,line,want", [
+    ("JAVA", "  public static <T extends A<T>> Map<String, List<T>> go(int a) {", ("FUNCTION", "go")), ("JAVA", "  return go(1);", None), ("JAVA", "  x.go(1);", None), ("JAVA", "  go(1);", None), ("JAVA", "  Foo(int a) {", ("FUNCTION", "Foo")),
+    ("JAVA", "  int[] a = new int[3];", ("VALUE", "a")), ("JAVA", '  @X(name = ")") private final String s = "void go(";', ("VALUE", "s")), ("JAVA", "  else if (go(1)) {", None), ("JAVA", "  new Foo(1) {", None), ("JAVA", "@interface N {", ("TYPE", "N")), ("JAVA", "// void go() {", None), ("JAVA", "}", None), ("JAVA", "", None),
+    ("KOTLIN", "  override suspend fun <T> Map<String, T>.go(a: Int) = 1", ("FUNCTION", "go")), ("KOTLIN", "  go(1)", None), ("KOTLIN", "  private val a: Int = 1", ("VALUE", "a")), ("KOTLIN", "fun interface F {", ("TYPE", "F")), ("KOTLIN", "  companion object {", ("TYPE", "Companion")), ("KOTLIN", "  fun `a b`() {", ("FUNCTION", "a b")), ("KOTLIN", "  fun (Int.() -> Unit).go() {", ("FUNCTION", "go")),
+])
+def test_declarations(language, line, want):
+    d = declarations.declared(declarations.tokens(line), language)
+    assert (d and (d.kind, d.name)) == want
 
 
 def test_methods_in_files(spark):
-    src = 'class A {\n  @X\n  int go(int a) {\n    String s = "}";\n    if (a) { go(1); }\n  }\n  int go() { return 1; }\n}\n'
-    df = spark.createDataFrame([("p", "JAVA", src, "go"), ("p", "JAVA", src, "none"), ("q", None, None, "go")], "path string, language string, content string, method_name string")
+    src = 'class A {\n  @X\n  int go(int a) {\n    String s = "}";\n    if (a) { go(1); }\n  }\n  int go() { return 1; }\n  private\n  Map<String, A> put(final java.util.List<A> x,\n    B... y) { }\n}\n'
+    df = spark.createDataFrame([("p.java", src, ["go", "none", "go()", "go(int)", "put", "go(Other)"]), ("q.java", None, ["go"]), ("r.java", src, None)], "path string, content string, method_names array<string>")
     r = text.methods_in_files(df, 1).collect()
-    assert [(x["start_line"], x["end_line"], x["before"], x["after"]) for x in r] == [(3, 6, "  @X", "  int go() { return 1; }")]
+    assert [(x["method_name"], x["start_line"], x["end_line"], x["before"], x["after"]) for x in r] == [
+        ("go", 3, 6, "  @X", "  int go() { return 1; }"), ("go()", 7, 7, "  }", "  private"), ("go(int)", 3, 6, "  @X", "  int go() { return 1; }"), ("put", 9, 10, "  private", "}"), ("go(Other)", 3, 6, "  @X", "  int go() { return 1; }"),
+    ]
+    assert declarations.parameter_kinds(declarations.tokens("Map<String, A> put(final java.util.List<A> x, B... y) { }"), "put", "JAVA") == ("List", "B[]")
+    assert declarations.parameter_kinds(declarations.tokens("fun put(a: Map<Int, A>, vararg b: B? = null)"), "put", "KOTLIN") == ("Map", "B")
+
+
+def test_declaration_starts(spark):
+    src = "class A {\n  @X\n  public int go(int a) {\n    x();\n  }\n}"
+    df = spark.createDataFrame([("p.java", src), ("q.kt", "fun go() {\n  x()\n}")], "path string, content string")
+    places = spark.createDataFrame([("p.java", 4), ("p.java", 1), ("p.java", 2), ("q.kt", 2)], "path string, at int")
+    assert col(text.declaration_starts(text.source_lines(df), places), "path", "at", "start") == [("p.java", 1, 1), ("p.java", 2, 2), ("p.java", 4, 3), ("q.kt", 2, 1)]
 
 
 def test_streaming_counts_as_batch(facts, spark, tmp_path):

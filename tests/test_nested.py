@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factweave.operators.nested import flatten_sites, flatten_values, value_objects
+from factweave.operators.nested import complete, flatten_sites, flatten_values, value_objects
 
 
 def walk(o, path, parent):
@@ -78,6 +78,14 @@ def test_any_texts(rows):
     assert mine(texts) == [brute(t) for t in texts]
 
 
+def test_a_whole_delivery_wins(spark):
+    whole = '{"a":{"kind":"X"},"a":{"kind":"Y"}}'  # a repeated key is no fault
+    broken = ['{"a":{"kind":"X"}} tail', '{"b":{"kind":"X"}}}', "null", "[]", json.dumps('{"c":{"ki'), '{"a":{"kind":"X"}}{"b":{"kind":"X"}}', '{"a":']
+    assert complete(pa.array([whole, *broken, json.dumps(whole), "", "{}"])).tolist() == [True] + [False] * len(broken) + [True, False, True]
+    df = spark.createDataFrame([(i, t) for i, b in enumerate(broken) for t in (b, whole)], "site_id long, attrs string")
+    assert sorted(tuple(r) for r in flatten_values(df).select("site_id", "path", "kind").collect()) == [(i, "a", "Y") for i in range(len(broken))]
+
+
 def test_tables(spark):
     rows = [
         (1, '{"a":{"kind":"ANNOTATION","annotation":{"type":"x.Y","parameters":{"b":{"kind":"ENUM","value":"V","enumType":"e.E"}}}}}', "p", 1),

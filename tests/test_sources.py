@@ -1,27 +1,13 @@
 from __future__ import annotations
 
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
-from factweave.sources.archives import entry_for_type, source_entries
 from factweave.sources.classpath import source_files
 from factweave.sources.sinks import as_json, write_lines
 
 
-def test_archives(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.jar", "w") as z:
-        for n, t in (("p/A.java", "class A {}"), ("java.base/p/B.kt", "class B"), ("p/B.java", "class B {}"), ("p/x.txt", "no"), ("../evil.java", "no"), ("p/Bad.java", b"\xff\xfe")):
-            z.writestr(n, t)
-    (tmp_path / "b.jar").write_bytes(b"PK\x03\x04 broken")
-    (tmp_path / "c.jar").write_bytes(b"text")
-    e = source_entries(spark, str(tmp_path))
-    assert sorted(r["entry"] for r in e.collect()) == ["java.base/p/B.kt", "p/A.java", "p/B.java"]
-    t = spark.createDataFrame([("p.A",), ("p.B$In",), ("q.C",)], "fqn string")
-    assert {r["fqn"]: r["entry"] for r in entry_for_type(e, t).collect()} == {"p.A": "p/A.java", "p.B$In": "p/B.java"}
-
-
 def test_source_files(spark, tmp_path):
     for n in ("src/main/A.kt", "src/test/ATest.kt", "build/G.kt", "x.java", "b.kts"):
         (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
