@@ -66,11 +66,11 @@ def _then(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def powers(edges: DataFrame) -> list[DataFrame]:
-    """The pairs joined by ways of exactly 1, 2, 4 and 8 edges."""
+    """The edges, and the pairs joined by ways of exactly eight of them."""
     out = [edges]
-    for _ in range(3):
-        out.append(cut(_then(out[-1], out[-1])))
-    return out
+    for k in range(3):
+        out.append(cut(_then(out[-1], out[-1]), *out[-1:] * (k > 0)))
+    return [edges, out[-1]]
 
 
 def _staying(start: DataFrame, step) -> DataFrame:
@@ -79,7 +79,7 @@ def _staying(start: DataFrame, step) -> DataFrame:
     left, size = cut(start), None
     while (now := left.count()) != size and now:
         size = now
-        left = cut(step(step(left)))
+        left = cut(step(step(left)), left)
     return left
 
 
@@ -103,8 +103,8 @@ def merged_loops(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     """Nodes that reach one another by up to eight edges each way lie on one loop: (node, label) gives such nodes the least
     name of those they meet, and the edges between labels are the graph in which loops so short are points."""
     within = edges
-    for _ in range(3):
-        within = cut(_then(within, within).union(within).distinct())
+    for k in range(3):
+        within = cut(_then(within, within).union(within).distinct(), *[within] * (k > 0))
     back = within.select(F.col("parent").alias("node"), F.col("node").alias("other"))
     met = within.join(back, (within.node == back.node) & (within.parent == back.other)).select(within.node.alias("node"), F.col("parent").alias("other"))
     labels = cut(met.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))

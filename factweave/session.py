@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -44,19 +45,31 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/factweave/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again: the lineage ends there, later
-    stages read only the columns they use, and a lost executor loses nothing."""
+    stages read only the columns they use, and a lost executor loses nothing. Then the tables `done`, which `cut` wrote
+    and nothing reads any more, are removed."""
     at = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    _written[out] = at
+    for table in done:
+        if table in _written:
+            _remove(df.sparkSession, _written.pop(table))
+    return out
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes the tables this application's `cut` wrote; DataFrames that still read them can't be used after."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _own_dir(spark))
 
 
 _shipped: set[str] = set()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from factweave.session import clear, cut, shared_dir
 
 
@@ -11,6 +13,14 @@ def test_cut_keeps_rows_and_clear_removes_them(spark):
     assert "factweave" in plan and "Range" not in plan  # the lineage ends at the table
 
 
+def test_what_is_done_goes(spark):
+    first = cut(spark.range(5))
+    second = cut(first.where("id > 2"), first, first)
+    assert second.count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        first.count()
+
+
 def test_clear(spark):
     from pathlib import Path
 
