@@ -340,7 +340,7 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
                 )
 
     cutouts = whole_texts.mapInArrow(surroundings, f"w bigint, c bigint, id {id_type}, text_key bigint, at bigint, left int, right int, around string")
-    found = cut(cutouts.withColumn("d", F.xxhash64("around")))
+    found = cut(cutouts.withColumn("d", F.xxhash64("around")), marked, twice)
 
     # one row for each window with its surroundings, told apart by their text, and which windows are in two documents
     group = ["w", "c", "d"]  # names a group of equal surroundings by 192 bits of three hashes
@@ -402,7 +402,7 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
     # surroundings that two documents have are shared as a whole
     whole = same.where("a <> b").select(*group, F.greatest(F.lit(0), F.lit(reach) - F.col("right")).alias("low"), F.least("left", F.lit(reach)).alias("high"))
     result = whole.unionByName(partly).unionByName(spread).groupBy(*group).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <= high")
-    result = cut(result.join(same.select(*group, "n"), group))
+    result = cut(result.join(same.select(*group, "n"), group), same, unsure)
 
     occurring = found.select(*group, "id", "text_key", "at")
     spans = _sliced_join(occurring, result, group, slice_rows).select("id", "text_key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + least).alias("end")).distinct()

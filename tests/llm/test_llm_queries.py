@@ -20,7 +20,7 @@ def test_runs(spark, smallest, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty, name):
     found = queries.QUERIES[name](spark, empty)
-    assert found.count() == 0
+    assert found.count() == (1 if name == "p6_invariants" else 0)  # a row of zeros
 
 
 def test_the_core_does_not_need_this_package():
