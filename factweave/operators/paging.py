@@ -14,6 +14,23 @@ def check_page(page: int = 0, size: int = 50) -> tuple[int, int]:
     return page, size
 
 
+def page_arguments(page: str | None = None, size: str | None = None) -> tuple[int, int]:
+    """Page and size from texts: what is blank or no whole number is the default, what is out of range an error."""
+
+    def read(text: str | None, default: int) -> int:
+        try:
+            return int((text or "").strip())
+        except ValueError:
+            return default
+
+    return check_page(read(page, 0), read(size, 50))
+
+
+def flag(text: str | None) -> bool:
+    """Whether a text is `true`, in any case."""
+    return (text or "").strip().lower() == "true"
+
+
 def total_pages(total: int, size: int) -> int:
     """At least one page, even of an empty result."""
     return max(1, -(-total // size))

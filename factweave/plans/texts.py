@@ -57,8 +57,8 @@ def format_files(f: Facts) -> DataFrame:
 @query
 def source_docs(f: Facts) -> DataFrame:
     """Whether each file has documentation, and how many lines."""
-    lines = text.source_lines(f.sources)
-    return lines.groupBy("path").agg(F.max(text.has_docs(F.col("line"))).alias("documented"), F.count("*").alias("lines"))
+    held = f.sources.where("content is not null")
+    return held.select("path", text.has_docs(F.col("content")).alias("documented"), F.size(F.split("content", "\r\n|\n|\r")).alias("lines"))
 
 
 @query
@@ -311,7 +311,7 @@ SQL = {
 SELECT path, new <> content AS changed, md5(new) AS digest, len(list_filter(string_split(new, chr(10)), lambda x: length(x) > 140 OR regexp_matches(x, '[ \\t]$')))::INT
   + len(list_filter(string_split(new, chr(10)), lambda x: regexp_matches(x, '^\\s*import\\s+(static\\s+)?[\\w.]+\\.\\*;?\\s*$')))::INT AS remaining FROM made""",
     "lint_documents": _lint_sql("doc_id", "text", "documents", " SELECT rule, count(*) AS n FROM (SELECT DISTINCT * FROM hits) GROUP BY 1"),
-    "source_docs": "WITH " + _F + _LINES.format(key="path", text="content", table="src") + " SELECT path, bool_or(contains(line, '/**')) AS documented, count(*) AS lines FROM ln GROUP BY 1",
+    "source_docs": "WITH " + _FILES + " SELECT path, contains(content, '/**') AS documented, len(string_split_regex(content, '\\r\\n|\\n|\\r')) AS lines FROM src WHERE content IS NOT NULL",
     "source_declarations": _sql("r c", ", " + _F + _LINES.format(key="path, fqn", text="content", table="src") + """, places AS (
   SELECT DISTINCT path, line_no AS at FROM ln WHERE line_no % 10 = 0 OR EXISTS (SELECT 1 FROM r WHERE from_fqn = ln.fqn AND line_number = line_no) OR EXISTS (SELECT 1 FROM c WHERE caller_fqn = ln.fqn AND line_number = line_no)
 ), marked AS (SELECT path, line_no, trim(line, ' ' || chr(9)) AS s FROM ln)
@@ -336,7 +336,7 @@ SELECT fqn, archive, entry FROM w2 JOIN tails USING (tail) QUALIFY row_number()
 FROM (SELECT class_fqn, epoch(date_trunc('second', max(requested_at)))::BIGINT - epoch(date_trunc('second', min(requested_at)))::BIGINT AS s FROM method_sources WHERE requested_at IS NOT NULL GROUP BY 1)""",
     "sources_resolved": _sql("t", ", " + _FILES + """, best AS (
   SELECT fqn AS outer_fqn, path, coalesce(origin, '') AS origin FROM src WHERE content IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY fqn ORDER BY coalesce(source_set, '') <> 'main', coalesce(origin, '') <> 'PROJECT_SOURCE', NOT ends_with(path, '.java'), coalesce(module, ''), path) = 1)
+  QUALIFY row_number() OVER (PARTITION BY fqn ORDER BY coalesce(source_set, '') <> 'main', coalesce(list_position(['PROJECT_SOURCE', 'SOURCE_JAR', 'JDK_SOURCE', 'DECOMPILED'], origin), 5), NOT ends_with(path, '.java'), coalesce(module, ''), path) = 1)
 SELECT t.fqn, coalesce(path, '') AS path, coalesce(origin, 'SOURCE_NOT_FOUND') AS found FROM t LEFT JOIN best ON outer_fqn = split_part(t.fqn, '$', 1)"""),
     "cache_stats": "WITH " + _FILES + " SELECT coalesce(origin, 'UNKNOWN') AS origin, count(*) AS files, coalesce(sum(length(content)), 0)::BIGINT AS chars FROM src GROUP BY 1",
     "cache_keys": _sql("t", """ SELECT location, count(*) AS types, left(sha256(location), 16) AS key,

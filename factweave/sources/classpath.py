@@ -11,6 +11,10 @@ from ..functions.names import truncated_sha256
 JDK_PREFIXES = ("java.", "javax.", "jdk.", "sun.", "com.sun.", "org.w3c.dom.", "org.xml.sax.", "org.ietf.jgss.")
 
 
+#: Where sources come from, in the order in which they are preferred.
+ORIGINS = ("PROJECT_SOURCE", "SOURCE_JAR", "JDK_SOURCE", "DECOMPILED")
+
+
 def is_jdk(name: Column) -> Column:
     return name.rlike("^(" + "|".join(p.replace(".", r"\.") for p in JDK_PREFIXES) + ")")
 
@@ -127,13 +131,14 @@ def cache_statistics(sources: DataFrame) -> DataFrame:
 
 
 def resolve_sources(types: DataFrame, sources: DataFrame) -> DataFrame:
-    """(fqn, path, found): the file that holds each type, or its outermost type: of several the main one, then project
-    before library files, Java before Kotlin, then the least module and path. A type without a file is SOURCE_NOT_FOUND,
+    """(fqn, path, found): the file that holds each type, or its outermost type: of several the main one, then by
+    the order of origins (a project's own file, a source jar's, the platform's, a decompiled one, any other), Java before
+    Kotlin, then the least module and path. A type without a file is SOURCE_NOT_FOUND,
     and a stub made from its facts stands in for it (`source_or_stub`)."""
     outer = F.substring_index("fqn", "$", 1)
     rank = F.struct(
         (F.col("source_set") != "main").alias("other_set"),
-        (F.col("origin") != "PROJECT_SOURCE").alias("library"),
+        F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in ORIGINS]), F.col("origin")).cast("int"), F.lit(0)), F.lit(len(ORIGINS) + 1)).alias("preferred"),
         (~F.endswith("path", F.lit(".java"))).alias("other_language"),
         F.coalesce("module", F.lit("")).alias("module"),
         F.col("path").alias("path"),

@@ -23,7 +23,7 @@ def rows(columns: list[str], data: list) -> Counter:
 
 
 def difference(df, sql: str, folder: str) -> str:
-    """'' if both give the same columns and rows, else what differs."""
+    """'' if both give the same columns and rows, and any, else what differs."""
     con = duckdb.connect()
     for p in Path(folder).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
@@ -35,5 +35,5 @@ def difference(df, sql: str, folder: str) -> str:
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if got == want:
-        return ""
+        return "" if got else "no rows on either side"
     return f"{sum(got.values())} rows, SQL has {sum(want.values())}; only Spark: {list((got - want).items())[:3]}; only SQL: {list((want - got).items())[:3]}"

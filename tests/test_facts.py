@@ -153,6 +153,10 @@ def test_paging(spark):
     assert [r["id"] for r in paging.paginate(df, [F.desc("id")], 1, 3).collect()] == [3, 2, 1]
     assert paging.paginate(df, [F.col("id")], 43_000_000, 50).collect() == []
     assert paging.paginate(df, [F.col("id")], 5, 3).collect() == []
+    assert [paging.page_arguments(*x) for x in ((None, None), (" 2 ", "x"), ("", "7"))] == [(0, 50), (2, 50), (0, 7)]
+    assert [paging.flag(x) for x in ("TRUE", "1", None)] == [True, False, False]
+    with pytest.raises(ValueError):
+        paging.page_arguments("-1", "5")
     assert (paging.total_pages(0, 50), paging.total_pages(101, 50)) == (1, 3)
     assert [(r["id"], r["row_no"]) for r in paging.paginate(spark.range(200_010), [F.col("id")], 4000, 50).collect()] == [(200_000 + i, 200_001 + i) for i in range(10)]
     assert paging.page_of(df, [F.col("id")], 1, 3)[1:] == (7, 3)

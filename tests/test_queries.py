@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables that give it rows."""
 
 from __future__ import annotations
 
@@ -12,9 +12,14 @@ QUERIES = {k: v for m in SOURCES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in SOURCES for k, v in m.SQL.items()}
 
 
+#: Queries that have rows only on larger tables.
+SPARSE = {"calls_returning", "recipe_blocking", "recipe_functional_routes"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, smallest, name):
-    assert difference(QUERIES[name](spark, smallest), SQL[name], smallest) == ""
+    at = "/root/testdata/sf0.01" if name in SPARSE else smallest
+    assert difference(QUERIES[name](spark, at), SQL[name], at) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
