@@ -21,6 +21,12 @@ def _differs(a: pa.Array) -> np.ndarray:
     return out
 
 
+def _counts(key: pa.Array, member: pa.Array) -> pa.Array:
+    """Which pairs count: both ends named, and not the same; a null counts as no name."""
+    named = pc.and_(pc.not_equal(key, ""), pc.not_equal(member, ""))
+    return pc.fill_null(pc.and_(named, pc.not_equal(key, member)), False)
+
+
 def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, member): per key the number of different members. The first and the last key of
     the partition may go on in a neighbour, so their states also carry place, first and last member."""
@@ -32,6 +38,7 @@ def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_pylist([{"key": key, "n": n, "part": part, "first": first if edge else None, "last": last if edge else None}], schema)
 
     for batch in batches:
+        batch = batch.filter(_counts(batch.column(0), batch.column(1)))
         if not batch.num_rows:
             continue
         key, member, part = batch.column(0), batch.column(1), batch.column(2)[0].as_py()
@@ -66,7 +73,8 @@ def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def distinct_members_per_key(rows: DataFrame, key: Column, member: Column, tie: Column, partitions: int | None = None) -> DataFrame:
-    """(key, n): how many different members each key has; rows with a null key or member are left out.
+    """(key, n): how many different members other than itself each key has; rows whose key or member is null or empty are
+    left out.
 
     Rows are range-partitioned by (key, member, tie) at sampled quantiles, so a heavy key spreads over as many
     partitions as its rows fill, and so does a heavy (key, member) pair as long as `tie` varies. Each partition
@@ -75,7 +83,8 @@ def distinct_members_per_key(rows: DataFrame, key: Column, member: Column, tie:
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = rows.select(key.alias("key"), member.alias("member"), tie.alias("tie")).where("key is not null and member is not null")
+    # what doesn't count goes where the states are made: a filter here would work out both expressions once more
+    pairs = rows.select(key.alias("key"), member.alias("member"), tie.alias("tie"))
     ranged = pairs.repartitionByRange(n, "key", "member", "tie").sortWithinPartitions("key", "member")
     states = ranged.select("key", "member", F.spark_partition_id().alias("part")).mapInArrow(_partial_states, "key string, n bigint, part int, first string, last string")
     edges = F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("part", "first", "last"))))
@@ -91,8 +100,8 @@ def dependent_counts(refs: DataFrame, type_col: str = "type_fqn", from_col: str
     Null and blank names and references of a type to itself are left out; repeated rows count once. An empty table
     gives no rows; other columns are ignored.
     """
-    target = F.btrim(F.regexp_replace(plain_name(F.col(f"`{type_col}`")), r"\[\]$", ""), F.lit(BLANKS))
-    named = refs.select(target.alias("target"), plain_name(F.col(f"`{from_col}`")).alias("origin"), (F.col(f"`{tie_col}`") if tie_col else F.lit(0)).alias("tie"))
-    named = named.where("target <> '' and origin <> '' and target <> origin")
-    counts = distinct_members_per_key(named, F.col("target"), F.col("origin"), F.col("tie"), partitions)
+    name = plain_name(F.col(f"`{type_col}`"))
+    target = F.when(F.endswith(name, F.lit("[]")), F.btrim(name.substr(F.lit(1), F.length(name) - 2), F.lit(BLANKS))).otherwise(name)
+    some = refs.where(F.col(f"`{type_col}`").isNotNull() & F.col(f"`{from_col}`").isNotNull())
+    counts = distinct_members_per_key(some, target, plain_name(F.col(f"`{from_col}`")), F.col(f"`{tie_col}`") if tie_col else F.lit(0), partitions)
     return counts.select(F.col("key").alias("type_fqn"), F.col("n").alias("dependent_count"))
