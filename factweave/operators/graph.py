@@ -74,20 +74,28 @@ def parent_chain(facts: Facts, targets: DataFrame) -> DataFrame:
 
 def children_tree(facts: Facts, targets: DataFrame) -> DataFrame:
     """(target, depth, path, fqn): subtypes downwards, of any source, one row per way; an interface has those that
-    name it, a class those that extend it. A way doesn't visit a type twice, so loops end."""
+    name it, a class those that extend it. A way doesn't visit a type twice, so loops end. A round goes up to four levels
+    on."""
     kinds = facts.types.select(F.col("fqn").alias("super"), "is_interface")
     t = facts.types
     ext = t.where("superclass is not null").select(F.col("superclass").alias("super"), F.col("fqn").alias("sub"), F.lit(False).alias("by_interface"))
     imp = t.select(F.explode("interfaces").alias("super"), F.col("fqn").alias("sub"), F.lit(True).alias("by_interface"))
     edges = cut(ext.unionByName(imp).join(kinds, "super").where("is_interface = by_interface").select("super", "sub").distinct())
+    # ways of up to four edges, none of which comes back to a type it has
+    ways = longest = edges.select(F.col("super").alias("from"), F.array("sub").alias("tail"), F.col("sub").alias("to"), F.lit(1).alias("hops"))
+    for k in (1, 2):
+        second = ways.select(F.col("from").alias("to"), F.col("tail").alias("more"), F.col("to").alias("end"), F.col("hops").alias("n"))
+        joined = longest.join(second, "to").where(~F.arrays_overlap(F.concat(F.array("from"), "tail"), "more"))
+        longer = cut(joined.select("from", F.concat("tail", "more").alias("tail"), F.col("end").alias("to"), (F.col("n") + k).alias("hops")))
+        ways, longest = ways.union(longer), longer.where(F.col("hops") == 2 * k)
     level = cut(targets.join(kinds, targets.target == kinds.super, "left_semi").select("target", F.col("target").alias("fqn"), F.array("target").alias("way")))
-    found, depth = None, 0
+    found = None
     while True:
-        depth += 1
-        down = level.join(edges, (level.fqn == edges.super) & ~F.array_contains("way", F.col("sub")))
-        level = cut(down.select("target", F.col("sub").alias("fqn"), F.concat("way", F.array("sub")).alias("way")))
-        rows = level.select("target", F.lit(depth).alias("depth"), F.array_join("way", ">").alias("path"), "fqn")
+        down = level.join(ways, level.fqn == ways["from"]).where(~F.arrays_overlap("way", "tail"))
+        now = cut(down.select("target", F.col("to").alias("fqn"), F.concat("way", "tail").alias("way"), "hops"))
+        rows = now.select("target", (F.size("way") - 1).alias("depth"), F.array_join("way", ">").alias("path"), "fqn")
         found = rows if found is None else found.union(rows)
+        level = now.where("hops = 4").drop("hops")
         if not level.head(1):
             return found
 
