@@ -405,7 +405,7 @@ FROM (SELECT DISTINCT owner_fqn, name FROM mt WHERE name = '{COMMON_METHOD}') k
   SELECT DISTINCT super, fqn AS sub FROM (SELECT fqn, unnest(list_append(interfaces, superclass)) AS super FROM t) WHERE super IS NOT NULL AND super <> fqn
 ), inside AS (
   SELECT sub AS fqn FROM sub WHERE super = '{SCOPE}' AND super IN (SELECT fqn FROM t) UNION SELECT s2.sub FROM inside i JOIN sub s2 ON s2.super = i.fqn)
-SELECT DISTINCT to_json(struct_pack(type_fqn := type_fqn, from_fqn := from_fqn, kind := kind))::VARCHAR AS json FROM x WHERE from_fqn IN (SELECT fqn FROM inside)""", ""),
+SELECT DISTINCT to_json(struct_pack(type_fqn := type_fqn, from_fqn := from_fqn, kind := kind))::VARCHAR AS json FROM x WHERE from_fqn IN (SELECT fqn FROM inside WHERE fqn <> '{SCOPE}')""", ""),
     "references_by_day": """SELECT strftime(start, '%Y-%m-%d') AS start, kind, count(*) AS n FROM (
   SELECT DISTINCT ON (ref_id) ref_id, kind, date_trunc('day', seen_at) AS start FROM type_refs WHERE seen_at IS NOT NULL AND ref_id IS NOT NULL) GROUP BY 1, 2""",
     "implementations": _sql("t se impl", " SELECT target, fqn, relation, depth FROM (SELECT *, (SELECT min(d) FROM hops WHERE hops.target = impl.target AND hops.fqn = impl.fqn) AS depth FROM impl)").replace("), impl AS (", "), hops(target, fqn, d) AS (SELECT super, sub, 1 FROM se WHERE super IN (SELECT fqn FROM t WHERE is_interface AND source = 'PROJECT') UNION SELECT h.target, se.sub, h.d + 1 FROM hops h JOIN se ON se.super = h.fqn WHERE h.d < 60), impl AS ("),

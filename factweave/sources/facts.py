@@ -58,7 +58,8 @@ class Facts:
     @cached_property
     def refs(self) -> DataFrame:
         """Each reference once, without those whose names are null or blank."""
-        target = F.regexp_replace(plain_name("type_fqn"), r"\[\]$", "")
+        name = plain_name("type_fqn")
+        target = F.when(F.endswith(name, F.lit("[]")), name.substr(F.lit(1), F.length(name) - 2)).otherwise(name)
         rows = self.raw("type_refs").select("ref_id", target.alias("type_fqn"), plain_name("from_fqn").alias("from_fqn"), "from_source", "kind", "member", "detail", "line_number")
         return rows.where("type_fqn <> '' and from_fqn <> ''").distinct()
 

@@ -13,7 +13,7 @@ SQL = {k: v for m in SOURCES for k, v in m.SQL.items()}
 
 
 #: Queries that have rows only on larger tables.
-SPARSE = {"calls_returning", "recipe_blocking", "recipe_functional_routes"}
+SPARSE = {"calls_returning", "methods_search", "recipe_blocking", "recipe_functional_routes"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -35,7 +35,7 @@ def test_entry_names():
 
 
 #: What queries give for empty tables, where it isn't nothing: a row of zeros, a graph's first and last line, absent technologies.
-OF_NOTHING = {"classes_stats": 1, "deps_dot": 2, "recipe_stack": 5}
+OF_NOTHING = {"classes_stats": 1, "deps_dot": 2, "recipe_stack": 5, "lint_summary": 1}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
