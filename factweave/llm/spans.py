@@ -252,24 +252,24 @@ def _same_texts(rows: pa.RecordBatch, row: np.ndarray, offset: np.ndarray, group
     return True
 
 
-def _slices(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int) -> tuple[DataFrame, DataFrame]:
+def _slices(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int, by: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join by keys, with a slice number: of counted(keys..., n) n is how many rows each key has. Keys with
     more than `slice_rows` rows, and more than a ten thousandth of all, hence ten thousand keys at most, are parted into
-    slices by id; the other side has a row for each slice."""
+    slices by another column; the other side has a row for each slice."""
     limit = max(slice_rows, (counted.agg(F.sum("n")).head()[0] or 0) // 10_000)
     slices = F.ceil(F.col("n") / limit).cast("int")
-    wide = counted.where(F.col("n") > limit).select(*keys, slices.alias("slices"))
-    left = rows.join(F.broadcast(wide), keys, "left").withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    wide = counted.where(F.col("n") > limit).select(*keys, slices.alias("slices")).distinct()
+    left = rows.join(F.broadcast(wide), keys, "left").withColumn("slice", F.pmod(F.xxhash64(by), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
     return left, counted.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("n")
 
 
-def _sliced_join(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
-    left, right = _slices(rows, counted, keys, slice_rows)
+def _sliced_join(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int, by: str = "id") -> DataFrame:
+    left, right = _slices(rows, counted, keys, slice_rows, by)
     return left.join(right, [*keys, "slice"])
 
 
-def _sliced_semi_join(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:
-    left, right = _slices(rows, counted, keys, slice_rows)
+def _sliced_semi_join(rows: DataFrame, counted: DataFrame, keys: list[str], slice_rows: int, by: str = "id") -> DataFrame:
+    left, right = _slices(rows, counted, keys, slice_rows, by)
     return left.join(right, [*keys, "slice"], "left_semi").drop("slice")
 
 
@@ -300,28 +300,32 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
             text, value = c.text[keep], c.value[keep]
             rows, starts = np.unique(text, return_index=True)
             packed = [np.unique(x).tobytes() for x in np.split(value, starts[1:])] if len(rows) else []
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(packed, pa.binary())], names=["id", "text", "text_key", "windows"])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(packed, pa.binary())], names=["id", "text", "k1", "k2", "windows"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            windows = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
             if windows:
                 row = pa.array(np.repeat(np.arange(len(windows)), [len(x) for x in windows]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(windows)), batch.column(0).take(row), batch.column(1).take(row)], names=["w", "id", "text_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(windows)), *(batch.column(k).take(row) for k in range(3))], names=["w", "id", "k1", "k2"])
 
-    keyed = plain.select("id", "text", F.xxhash64("text").alias("text_key"))
-    marked = cut(keyed.mapInArrow(mark, f"id {id_type}, text string, text_key bigint, windows binary"))
-    lean = marked.select("id", "text_key", "windows").mapInArrow(unpack, f"w bigint, id {id_type}, text_key bigint")
+    # two hashes name a text: what stands in several documents word for word is looked at once, with their least and
+    # largest id
+    keyed = plain.select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    marked = cut(keyed.mapInArrow(mark, f"id {id_type}, text string, k1 bigint, k2 bigint, windows binary"))
+    lean = marked.select("id", "k1", "k2", "windows").mapInArrow(unpack, f"w bigint, id {id_type}, k1 bigint, k2 bigint")
     twice = cut(lean.groupBy("w").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a <> b").select("w", "n"))
     hits = _sliced_semi_join(lean, twice, ["w"], slice_rows)
-    # a text comes once, whatever its copies, with its own windows: as many as its length allows
-    both = marked.select("id", "text_key", "text", F.lit(None).cast("bigint").alias("w")).unionByName(hits.select("id", "text_key", F.lit(None).cast("string").alias("text"), "w"))
-    whole_texts = both.groupBy("id", "text_key").agg(F.first("text", True).alias("text"), F.collect_set("w").alias("ws")).where("size(ws) > 0")
+    # a text comes with its own windows: as many as its length allows
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = marked.select("k1", "k2", "id", "text", nothing("bigint", "w")).unionByName(hits.select("k1", "k2", nothing(id_type, "id"), nothing("string", "text"), "w"))
+    whole_texts = both.groupBy("k1", "k2").agg(F.first("text", True).alias("text"), F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("w").alias("ws"))
+    whole_texts = whole_texts.where("size(ws) > 0").select("k1", "k2", "text", "a", "b", "ws")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _groups(batches, 2, least):
             c = Chosen(texts, least, size)
-            wanted = batch.column(3)
+            wanted = batch.column(5)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
             # a window of a text is wanted if (text, hash) is among the pairs asked for
             pair = lambda t, v: _scatter(v.view(_U) ^ (t.astype(_U) * _U(_MIX[1])))
@@ -333,18 +337,19 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
                 k = slice(a, a + 20_000)
                 low, high = at[k] - begin[k] - left[k], at[k] - begin[k] + size + right[k]
                 cutout = [texts[t][x:y] for t, x, y in zip(text[k].tolist(), low.tolist(), high.tolist(), strict=True)]
-                ids = batch.take(pa.array(text[k]))
+                own = batch.take(pa.array(text[k]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.value[keep[k]].view(np.int64)), pa.array(around[k].view(np.int64)), ids.column(0), ids.column(1), pa.array(at[k] - begin[k]), pa.array(left[k].astype(np.int32)), pa.array(right[k].astype(np.int32)), pa.array(cutout, pa.string())],
-                    names=["w", "c", "id", "text_key", "at", "left", "right", "around"],
+                    [pa.array(c.value[keep[k]].view(np.int64)), pa.array(around[k].view(np.int64)), *(own.column(x) for x in ("k1", "k2", "a", "b")), pa.array(at[k] - begin[k]), pa.array(left[k].astype(np.int32)), pa.array(right[k].astype(np.int32)), pa.array(cutout, pa.string())],
+                    names=["w", "c", "k1", "k2", "a", "b", "at", "left", "right", "around"],
                 )
 
-    cutouts = whole_texts.mapInArrow(surroundings, f"w bigint, c bigint, id {id_type}, text_key bigint, at bigint, left int, right int, around string")
-    found = cut(cutouts.withColumn("d", F.xxhash64("around")), marked, twice)
+    cutouts = whole_texts.mapInArrow(surroundings, f"w bigint, c bigint, k1 bigint, k2 bigint, a {id_type}, b {id_type}, at bigint, left int, right int, around string")
+    found = cut(cutouts.withColumn("d", F.xxhash64("around")), twice)
+    members = cut(marked.select("k1", "k2", "id").distinct(), marked)
 
     # one row for each window with its surroundings, told apart by their text, and which windows are in two documents
     group = ["w", "c", "d"]  # names a group of equal surroundings by 192 bits of three hashes
-    same = cut(found.groupBy(*group, "left", "around").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.max("right").alias("right")))
+    same = cut(found.groupBy(*group, "left", "around").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"), F.max("right").alias("right")))
     windows = same.groupBy("w").agg(F.min("a").alias("wa"), F.max("b").alias("wb"), F.count("*").alias("rows"), F.count_if(F.expr("a = b")).alias("open"))
     # windows of two documents with surroundings that only one document has
     unsure = cut(windows.where("wa <> wb and open > 0").select("w", "rows"))
@@ -404,13 +409,16 @@ def shared_spans(docs: DataFrame, least: int = 200, size: int = 100, id_col: str
     result = whole.unionByName(partly).unionByName(spread).groupBy(*group).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <= high")
     result = cut(result.join(same.select(*group, "n"), group), same, unsure)
 
-    occurring = found.select(*group, "id", "text_key", "at")
-    spans = _sliced_join(occurring, result, group, slice_rows).select("id", "text_key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + least).alias("end")).distinct()
-    earlier = "partition by id, text_key order by start, end rows between unbounded preceding and"
+    occurring = found.select(*group, "k1", "k2", "at")
+    spans = _sliced_join(occurring, result, group, slice_rows, by="k1").select("k1", "k2", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + least).alias("end")).distinct()
+    earlier = "partition by k1, k2 order by start, end rows between unbounded preceding and"
     joined = spans.withColumn("reached", F.expr(f"max(end) over ({earlier} 1 preceding)"))
     joined = joined.withColumn("piece", F.expr(f"sum(int(reached is null or start > reached)) over ({earlier} current row)"))
-    pieces = joined.groupBy("id", "text_key", "piece").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return pieces.select(F.col("id").alias(id_col), "text_key", "start", (F.col("end") - F.col("start")).alias("length"))
+    pieces = joined.groupBy("k1", "k2", "piece").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("piece")
+    held_by = members.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    pieces = cut(pieces.join(held_by, ["k1", "k2"]), found, result)
+    out = _sliced_join(members, pieces, ["k1", "k2"], slice_rows)
+    return out.select(F.col("id").alias(id_col), F.col("k1").alias("text_key"), "start", (F.col("end") - F.col("start")).alias("length"))
 
 
 def shared_chars(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -49,6 +49,29 @@ def test_own_repeats_and_copies(spark):
     assert shared_chars(df.limit(0)).collect() == []
 
 
+def test_many_copies_and_texts_of_one_id(spark):
+    r = random.Random(5)
+    t, u = ("".join(r.choices("abcdefgh", k=90)) for _ in "tu")
+    docs = [(i, t) for i in range(60)] + [(100, "x" + t[5:70]), (101, u), (101, u + "!"), (102, u[:50]), (103, t), (103, u[50:] + "zz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {a: b for a, b in shared_chars(df, 40, size=20, slice_rows=7).collect()} == brute_by_text(docs, 40)
+
+
+def brute_by_text(docs, least):
+    seen = defaultdict(set)
+    for d, t in docs:
+        for i in range(len(t) - least + 1):
+            seen[t[i : i + least]].add(d)
+    out = defaultdict(int)
+    for d, t in set(docs):
+        cover = bytearray(len(t))
+        for i in range(len(t) - least + 1):
+            if len(seen[t[i : i + least]]) > 1:
+                cover[i : i + least] = b"\1" * least
+        out[d] += sum(cover)
+    return {d: n for d, n in out.items() if n}
+
+
 def test_long_text(spark):
     t = "".join(random.Random(3).choices("abcdefghij", k=300_000))
     df = spark.createDataFrame([(1, t), (2, "-" + t[1000:250_000])], "doc_id long, text string")
