@@ -12,7 +12,7 @@ from factweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, 4)
+    s = local_session(4, 2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
