@@ -101,6 +101,7 @@ def test_descendants_without_loops(spark):
 
 def test_a_long_chain_with_loops_at_its_end(spark):
     up = {f"c{k:02}": [f"c{k - 1:02}"] if k else [] for k in range(30)}
+    up |= {f"r{k}": [f"r{(k + 1) % 19}", *(["l3"] if k == 7 else [])] for k in range(19)}  # a loop too long to be merged at once
     up |= {"x": ["c29", "y"], "y": ["x"], "z": ["y", "c03"]} | {f"l{k}": [f"l{(k + 1) % 13}"] for k in range(13)} | {"m": ["l5"], "n": ["m"], "o": ["n", "o2"], "o2": ["o"]}
     df = spark.createDataFrame([(f, None, ps, T0, None, None) for f, ps in up.items()], SCHEMA)
     want, _ = brute([(f, None, ps, T0) for f, ps in up.items()])
