@@ -44,9 +44,11 @@ def annotation_usages(facts: Facts, annotation: str | None = None, scope: str =
 
 
 def usage_values(facts: Facts, usages: DataFrame) -> DataFrame:
-    """The usages with their annotation's values: one row for each value object, by path; usages without values have none."""
+    """The usages with their annotation's values: one row for each value object, by path; usages without values have none.
+
+    Spark can't tell how many values a text holds and takes them for few enough to be broadcast: the join is a merge."""
     values = flatten_values(facts.raw("annotation_sites")).select("site_id", "path", "parent_path", "kind", "value", "enum_type", "annotation_type", "item_count")
-    return usages.join(values, "site_id")
+    return usages.hint("merge").join(values, "site_id")
 
 
 def with_attributes(facts: Facts, usages: DataFrame) -> DataFrame:

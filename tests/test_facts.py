@@ -137,6 +137,20 @@ def test_attributes(facts, spark):
     assert {r["attributes"] for r in v.collect()} == {""} and usages.usage_values(facts, v.drop("attributes")).count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_values_are_not_broadcast(spark, smallest, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        f = Facts(spark, smallest)
+        v = usages.usage_values(f, usages.annotation_usages(f))
+        assert v.collect()
+        plan = v._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "SortMergeJoin [site_id" in plan and "BroadcastHashJoin [site_id" not in plan
+
+
 def test_xref(facts):
     x = xref.xref(facts)
     assert {r["kind"]: r["n"] for r in xref.counts_by_kind(x.where("type_fqn = 'p.A'")).collect()} == {"IMPLEMENTS": 2, "FIELD": 1, "RETURN": 1, "PARAM": 1, "CALL_RECEIVER": 1}
